@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_line_dedup": "lines",
     "op2_mixing": "mixing",
+    "op4_lm_score": "lattice_lm",
+    "op6_url_filter": "urls",
     "op10_tiff": "tiff",
 }
 
