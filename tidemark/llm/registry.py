@@ -10,6 +10,7 @@ MODULES = {
     "op2_mixing": "mixing",
     "op4_lm_score": "lattice_lm",
     "op6_url_filter": "urls",
+    "op9_sentencepiece": "sentencepieces",
     "op10_tiff": "tiff",
 }
 
