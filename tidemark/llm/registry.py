@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_line_dedup": "lines",
     "op2_mixing": "mixing",
+    "op3_quality": "quality",
     "op4_lm_score": "lattice_lm",
     "op6_url_filter": "urls",
     "op9_sentencepiece": "sentencepieces",
