@@ -10,6 +10,7 @@ MODULES = {
     "op2_mixing": "mixing",
     "op3_quality": "quality",
     "op4_lm_score": "lattice_lm",
+    "op5_jaccard": "jaccard",
     "op6_url_filter": "urls",
     "op9_sentencepiece": "sentencepieces",
     "op10_tiff": "tiff",
