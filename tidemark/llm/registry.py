@@ -12,6 +12,7 @@ MODULES = {
     "op4_lm_score": "lattice_lm",
     "op5_jaccard": "jaccard",
     "op6_url_filter": "urls",
+    "op7_repeats": "repeats",
     "op9_sentencepiece": "sentencepieces",
     "op10_tiff": "tiff",
 }
