@@ -13,6 +13,7 @@ MODULES = {
     "op5_jaccard": "jaccard",
     "op6_url_filter": "urls",
     "op7_repeats": "repeats",
+    "op8_neighbours": "neighbours",
     "op9_sentencepiece": "sentencepieces",
     "op10_tiff": "tiff",
 }
