@@ -28,10 +28,10 @@ PROJECTIONS = 64
 #: Windows of 64 that must hold a vector before it is verified.
 THRESHOLD = 40
 #: First radius as a share of the block's spread of a projection, and its growth.
-RADIUS, GROWTH = 0.6, 1.2
+RADIUS, GROWTH = 0.8, 1.15
 #: A query is done in a block when this share of the block, or 4 k, is verified.
 SHARE = 0.17
-BLOCK, QUERY_BLOCK = 8192, 2048
+BLOCK, QUERY_BLOCK = 32768, 512
 SEED = 11
 
 
@@ -61,19 +61,18 @@ class Index:
         norm = float(np.sqrt(query @ query))
         centre = np.append(query / norm, 0.0) @ self.axes * self.longest
         enough = min(n, max(4 * k, int(np.ceil(SHARE * n))))
-        hits = np.zeros(n, np.uint8)
+        hits = np.zeros(n, np.int64)
         radius = RADIUS * self.spread
         lo = hi = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
-        lo, hi = lo.copy(), hi.copy()
+        lo, hi = lo.tolist(), hi.tolist()
         while True:
-            for i in range(PROJECTIONS):
-                a = int(np.searchsorted(self.values[i], centre[i] - radius))
-                b = int(np.searchsorted(self.values[i], centre[i] + radius, "right"))
-                a, b = min(a, lo[i]), max(b, hi[i])
-                order = self.order[i]
-                hits[order[a : lo[i]]] += 1
-                hits[order[hi[i] : b]] += 1
+            fresh = []
+            for i, (values, order) in enumerate(zip(self.values, self.order, strict=True)):
+                a = min(int(values.searchsorted(centre[i] - radius)), lo[i])
+                b = max(int(values.searchsorted(centre[i] + radius, "right")), hi[i])
+                fresh += [order[a : lo[i]], order[hi[i] : b]]
                 lo[i], hi[i] = a, b
+            hits += np.bincount(np.concatenate(fresh), minlength=n)
             found = np.flatnonzero(hits >= THRESHOLD)
             if len(found) >= enough:
                 break
@@ -86,8 +85,8 @@ class Index:
         return scores[best], ids[best]
 
 
-def _pack(vectors: list) -> np.ndarray:
-    return np.array(vectors, np.float64)
+def _pack(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy().reshape(len(vectors), -1)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -123,8 +122,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         out: list[tuple] = []
         if candidates.num_rows and questions.num_rows:
             table = candidates.sort_by("id")
-            index = Index(table["id"].to_numpy(), _pack(table["v"].to_pylist()), longest)
-            for own, v in zip(questions["id"].to_pylist(), _pack(questions["v"].to_pylist()), strict=True):
+            index = Index(table["id"].to_numpy(), _pack(table["v"]), longest)
+            for own, v in zip(questions["id"].to_pylist(), _pack(questions["v"]), strict=True):
                 scores, ids = index.search(v, own, k)
                 out.append((np.full(len(ids), own), ids, scores))
         q, i, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
