@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-#: query -> (module, has SQL in ORACLE)
+import corpus_pipeline
+
+#: query -> module; a module that SQL can check has it in ORACLE
 MODULES = {
     "op1_line_dedup": "lines",
     "op2_mixing": "mixing",
@@ -19,10 +21,14 @@ MODULES = {
 }
 
 
+def _module(name: str):
+    return importlib.import_module(f"tidemark.llm.{name}")
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"tidemark.llm.{m}"), name) for name, m in MODULES.items()}
+    return {name: getattr(_module(m), name) for name, m in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"tidemark.llm.{m}"), "ORACLE", None) for name, m in MODULES.items()}
+    found = {name: getattr(_module(m), "ORACLE", None) for name, m in MODULES.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
