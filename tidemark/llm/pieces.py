@@ -20,7 +20,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A byte piece costs this much more than the rarest piece, in nats.
 BYTE_PENALTY = 10.0
 #: Cells (string, start, length) that one block of lattices may hold.
-CELLS = 1 << 21
+CELLS = 1 << 20
 
 
 class Vocabulary:
@@ -127,56 +127,72 @@ def by_length(strings: list[bytes], reach: int) -> Iterator[tuple[np.ndarray, np
             yield part, np.frombuffer(b"".join([strings[i] for i in part]), np.uint8).reshape(len(part), length)
 
 
-def forward(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Log-space forward sums, strings x (length + 1).  weights: log weight by row, then -inf."""
-    count, length, reach = cells.shape
-    alpha = np.full((count, length + 1), -np.inf)
-    alpha[:, 0] = 0
-    for end in range(1, length + 1):
-        m = min(end, reach)
-        k = np.arange(m)
-        terms = alpha[:, end - 1 - k] + weights[cells[:, end - 1 - k, k]]
-        top = terms.max(axis=1)
-        alpha[:, end] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
-    return alpha
-
-
-def backward(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    count, length, reach = cells.shape
-    beta = np.full((count, length + 1), -np.inf)
-    beta[:, length] = 0
-    for start in range(length - 1, -1, -1):
-        m = min(length - start, reach)
-        terms = beta[:, start + 1 : start + 1 + m] + weights[cells[:, start, :m]]
-        top = terms.max(axis=1)
-        beta[:, start] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
-    return beta
+class Arcs:
+    """The arcs of the lattices of one block, ordered by the place that they lead to."""
+
+    def __init__(self, cells: np.ndarray, backwards: bool = False):
+        self.count, self.length, reach = cells.shape
+        by_place = np.full((self.length, self.count, reach), -1, np.int32)
+        for k in range(reach):
+            part = cells[:, : self.length - k, k].T
+            if backwards:
+                by_place[: self.length - k, :, k] = part
+            else:
+                by_place[k:, :, k] = part
+        place, self.string, k = np.nonzero(by_place >= 0)
+        self.row = by_place[place, self.string, k]
+        # Going backwards, an arc leads from its end to its start.
+        self.source = place + 1 + k if backwards else place - k
+        self.cuts = np.searchsorted(place, np.arange(self.length + 1))
+        new = np.ones(len(place), bool)
+        new[1:] = (self.string[1:] != self.string[:-1]) | (place[1:] != place[:-1])
+        self.heads = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.heads, len(place)))
+        self.backwards = backwards
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Log-space sums over all paths to each place; weights: classes x rows -> classes x strings x places.
+
+        Every place of every string has an arc, as a byte is always a piece.
+        """
+        out = np.full((len(weights), self.count, self.length + 1), -np.inf)
+        out[:, :, self.length if self.backwards else 0] = 0
+        log_weight = weights[:, self.row]
+        for step in range(self.length):
+            place = self.length - 1 - step if self.backwards else step
+            lo, hi = self.cuts[place], self.cuts[place + 1]
+            terms = out[:, self.string[lo:hi], self.source[lo:hi]] + log_weight[:, lo:hi]
+            group = slice(place * self.count, (place + 1) * self.count)
+            heads, sizes = self.heads[group] - lo, self.sizes[group]
+            top = np.maximum.reduceat(terms, heads, axis=1)
+            total = np.add.reduceat(np.exp(terms - np.repeat(top, sizes, axis=1)), heads, axis=1)
+            out[:, :, place if self.backwards else place + 1] = top + np.log(total)
+        return out
 
 
 def marginals(vocabulary: Vocabulary, strings: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Log marginal over all segmentations; weights: classes x rows -> strings x classes."""
-    padded = np.concatenate([weights, np.full((len(weights), 1), -np.inf)], axis=1)
     out = np.zeros((len(strings), len(weights)))
     for places, block in by_length(strings, vocabulary.longest):
-        cells = vocabulary.cells(block)
-        for k, w in enumerate(padded):
-            out[places, k] = forward(cells, w)[:, -1]
+        out[places] = Arcs(vocabulary.cells(block)).sums(weights)[:, :, -1].T
     return out
 
 
 def expected_counts(vocabulary: Vocabulary, strings: list[bytes], counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Expected uses of each row; counts: strings x classes -> rows x classes."""
-    padded = np.append(weights, -np.inf)
     n = len(vocabulary.strings)
     out = np.zeros((n, counts.shape[1]))
     for places, block in by_length(strings, vocabulary.longest):
         cells = vocabulary.cells(block)
-        alpha, beta = forward(cells, padded), backward(cells, padded)
-        w, i, k = np.nonzero(cells >= 0)
-        rows = cells[w, i, k]
-        use = np.exp(alpha[w, i] + padded[rows] + beta[w, i + k + 1] - alpha[w, -1])
+        arcs = Arcs(cells)
+        alpha = arcs.sums(weights[None])[0]
+        beta = Arcs(cells, backwards=True).sums(weights[None])[0]
+        end = np.repeat(np.arange(1, arcs.length + 1), np.diff(arcs.cuts))
+        use = np.exp(alpha[arcs.string, arcs.source] + weights[arcs.row] + beta[arcs.string, end] - alpha[arcs.string, -1])
         for c in range(counts.shape[1]):
-            out[:, c] += np.bincount(rows, use * counts[places[w], c], n)
+            own = counts[places, c]
+            if own.any():
+                out[:, c] += np.bincount(arcs.row, use * own[arcs.string], n)
     return out
 
 
