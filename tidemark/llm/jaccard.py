@@ -109,15 +109,15 @@ def sketch_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, key: str, text: str, width: int, percent: int, classes) -> DataFrame:
-    """(key, n, sig, gid, prefix) for every row; sig, gid and prefix are null for empty sets."""
+    """(key, n, sig, gid, g, prefix) for every row; all but key and n are null for empty sets."""
     def run(batches):
         order = classes.value
         for batch in batches:
-            n, sigs, gids, prefixes = [], [], [], []
+            n, sigs, gids, halves, prefixes = [], [], [], [], []
             for _, a in _sets(batch.column(1), width):
                 n.append(len(a))
                 if not len(a):
-                    for x in (sigs, gids, prefixes):
+                    for x in (sigs, gids, halves, prefixes):
                         x.append(None)
                     continue
                 keep = len(a) - -(-len(a) * percent // 100) + 1
@@ -125,12 +125,13 @@ def _describe(docs: DataFrame, key: str, text: str, width: int, percent: int, cl
                 prefix = a[np.argsort(rank, kind="stable")[:keep]]
                 sigs.append(_signature(a))
                 gids.append(_signature(prefix, len(a)))
+                halves.append(int.from_bytes(gids[-1][:8], "little", signed=True))
                 prefixes.append(prefix.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(gids, pa.binary()),
-                                              pa.array(prefixes, pa.list_(pa.int64()))], ["key", "n", "sig", "gid", "prefix"])
+                                              pa.array(halves, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "n", "sig", "gid", "g", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, sig binary, gid binary, prefix array<long>")
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, sig binary, gid binary, g long, prefix array<long>")
 
 
 def _bit(slots: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -151,17 +152,20 @@ def bit_filter(values: DataFrame, column: str, bits: int) -> np.ndarray:
     return table
 
 
-def _candidates(groups: DataFrame) -> DataFrame:
-    """Entries (token, band, low, pos, n, gid): ``low`` ones may be the smaller of a pair.
+def _lists(groups: DataFrame) -> DataFrame:
+    """Entries (token, band, low, pos, n, g) of tokens that two groups have in their prefixes.
 
-    A pair whose sizes fit is in one band, the smaller one low there.
+    ``low`` entries may be the smaller of a pair: a pair whose sizes fit is in
+    one band, the smaller one low there.  ``g`` is half of a group's name; groups
+    that share it by chance only make candidates of each other.
     """
+    tokens = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
     band = F.floor(F.log("n") / float(np.log(1 / 0.89)))
     as_low = F.struct(band.alias("band"), F.lit(True).alias("low"))
     as_high = F.struct((band - 1).alias("band"), F.lit(False).alias("low"))
-    listed = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    return (listed.select("token", "pos", "n", "gid", F.explode(F.array(as_low, as_high)).alias("p"))
-            .select("token", "p.band", "p.low", "pos", "n", "gid"))
+    return (tokens.join(shared, "token", "left_semi").select("token", "pos", "n", "g", F.explode(F.array(as_low, as_high)).alias("p"))
+            .select("token", "p.band", "p.low", "pos", "n", "g"))
 
 
 def _fits(percent: int, n1: Column, n2: Column, i: Column, j: Column) -> Column:
@@ -171,6 +175,33 @@ def _fits(percent: int, n1: Column, n2: Column, i: Column, j: Column) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest * (100 + percent) >= needed)
 
 
+def _plausible(pairs: DataFrame, owned: DataFrame, percent: int, classes) -> DataFrame:
+    """The pairs (a, b) of classes that may still reach the threshold, judged on whole prefixes.
+
+    A token of one prefix that comes before the end of the other one and is not
+    in it is not in the other set at all.
+    """
+    side = lambda x, i: owned.select(F.col("sig").alias(x), F.col("n").alias(f"n{i}"), F.col("prefix").alias(f"p{i}"))
+    joined = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "p1", "n2", "p2")
+
+    def run(batches):
+        order = classes.value
+        rank = lambda x: order[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        upto = lambda p, r, q, s: int(((r < s[-1]) | ((r == s[-1]) & (p <= q[-1]))).sum())
+        for batch in batches:
+            n1, n2 = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            keep = []
+            for m, x, n, y in zip(n1, batch.column(3), n2, batch.column(5), strict=True):
+                p, q = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                r, s = rank(p), rank(q)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                most = min(m - (upto(p, r, q, s) - both), n - (upto(q, s, p, r) - both))
+                keep.append((100 + percent) * most >= percent * (m + n))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "a binary, b binary")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     one = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
@@ -202,29 +233,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     classes = spark.sparkContext.broadcast(sketch_classes(docs, text, width))
     rows = scratch.table(_describe(docs, key, text, width, percent, classes), "rows")
     owned = scratch.table(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(
-        F.min("key").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix")), "classes")
-    members = owned.select("sig", "gid", "n")
+        F.min("key").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("g").alias("g"), F.first("prefix").alias("prefix")), "classes")
+    members = owned.select("sig", "g", "n")
     groups = scratch.table(owned.groupBy("gid").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("sig").alias("hub"), F.max("sig").alias("hub2"), F.count(F.lit(1)).alias("size")), "groups")
-    entries = _candidates(groups)
-    crowded = entries.groupBy("token", "band").agg(F.count(F.lit(1)).alias("many"), F.max("low").alias("some_low")).where((F.col("many") > 1) & F.col("some_low"))
-    lists = scratch.table(entries.join(crowded.select("token", "band"), ["token", "band"], "left_semi"), "lists")
-
-    in_lists = lists.select("gid").distinct().join(groups.where("size = 1"), "gid", "left_semi")
-    in_lists = in_lists.unionByName(groups.where("size > 1").select("gid"))
-    wanted = members.join(in_lists, "gid", "left_semi").select(F.xxhash64("sig").alias("h"))
-    table = spark.sparkContext.broadcast(bit_filter(wanted, "h", FILTER_BITS))
-
-    sets = scratch.table(_chosen_sets(docs, text, width, table).groupBy("sig").agg(F.first("members").alias("members")), "sets")
-    links = None
-    for turn, (pick, hub) in enumerate(((F.min, "hub"), (F.max, "hub2"))):
-        pairs = _star(lists, groups, members, pick, hub, percent)
-        found = _verify(pairs, sets, percent)
-        new = scratch.table(found if links is None else found.unionByName(links), f"links{turn}")
-        links = new
+        F.first("g").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("sig").alias("hub"), F.max("sig").alias("hub2"),
+        F.count(F.lit(1)).alias("size")), "groups")
+    lists = scratch.table(_lists(groups), "lists")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Verify candidates, gathering the sets of those only that their prefixes leave."""
+        some = scratch.table(_plausible(pairs, owned, percent, classes), f"{name}-pairs")
+        if some.isEmpty():
+            return some
+        ends = some.select(F.col("a").alias("sig")).unionByName(some.select(F.col("b").alias("sig"))).distinct()
+        reps = owned.join(ends, "sig", "left_semi").select(F.xxhash64("rep").alias("h"))
+        table = spark.sparkContext.broadcast(bit_filter(reps, "h", FILTER_BITS))
+        sets = scratch.table(_chosen_sets(docs, key, text, width, table).groupBy("sig").agg(F.first("members").alias("members")), f"{name}-sets")
+        return scratch.table(_verify(some, sets, percent), f"{name}-links")
+
+    stars = [_star(lists, groups, members, pick, hub, percent) for pick, hub in ((F.min, "hub"), (F.max, "hub2"))]
+    links = confirmed(stars[0].unionByName(stars[1]).distinct(), "star")
     part_of = scratch.table(_components(members, links, scratch), "parts")
-    rest = scratch.table(_left_over(lists, groups, part_of, percent), "rest")
-    links = scratch.table(_verify(rest, sets, percent).unionByName(links), "links")
+    links = links.unionByName(confirmed(_left_over(lists, part_of, percent), "rest"))
     part_of = _components(owned.select("sig", "rep"), links, scratch)
     least = part_of.groupBy("component").agg(F.min("rep").alias("least"))
     named = part_of.join(least, "component").select("sig", "least")
@@ -232,47 +262,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component"))
 
 
-def _chosen_sets(docs: DataFrame, text: str, width: int, table) -> DataFrame:
-    """(sig, members) of the texts whose class the filter holds, each class once a task."""
-    def describe(batches):
+def _chosen_sets(docs: DataFrame, key: str, text: str, width: int, table) -> DataFrame:
+    """(sig, members) of the texts whose key the filter holds, each class once a task."""
+    def choose(batches):
+        bits, seen = table.value, set()
         for batch in batches:
+            batch = batch.filter(pa.array(_bit(batch.column(0).to_numpy(), bits).astype(bool)))
             for lo in range(0, batch.num_rows, 500):
                 sigs, packed = [], []
-                for _, a in _sets(batch.column(0).slice(lo, 500), width):
-                    if len(a):
-                        sigs.append(_signature(a))
+                for _, a in _sets(batch.column(1).slice(lo, 500), width):
+                    if len(a) and (sig := _signature(a)) not in seen:
+                        seen.add(sig)
+                        sigs.append(sig)
                         packed.append(a.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(packed, pa.binary())], ["sig", "members"])
 
-    def choose(batches):
-        bits, seen = table.value, set()
-        for batch in batches:
-            slots = batch.column(2).to_numpy()
-            keep = np.flatnonzero(_bit(slots, bits))
-            fresh = []
-            for i in keep.tolist():
-                sig = batch.column(0)[i].as_py()
-                if sig not in seen:
-                    seen.add(sig)
-                    fresh.append(i)
-            if fresh:
-                yield batch.select([0, 1]).take(pa.array(fresh))
-
-    slot = F.pmod(F.xxhash64("sig"), F.lit(1 << FILTER_BITS))
-    return (docs.select(text).mapInArrow(describe, "sig binary, members binary").withColumn("slot", slot)
-            .mapInArrow(choose, "sig binary, members binary"))
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    return docs.select(slot.alias("slot"), text).mapInArrow(choose, "sig binary, members binary")
 
 
 def _star(lists: DataFrame, groups: DataFrame, members: DataFrame, pick, hub: str, percent: int) -> DataFrame:
     """Pairs of classes: each list's chosen group with its others, each group's chosen class with its others."""
-    entry = F.struct("gid", "n", "pos", "low")
+    entry = F.struct("g", "n", "pos", "low")
     chosen = lists.groupBy("token", "band").agg(pick(entry).alias("h"))
-    fits = (F.col("gid") != F.col("h.gid")) & _fits(percent, F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"))
-    between = lists.join(chosen, ["token", "band"]).where(fits).select("gid", F.col("h.gid").alias("to")).distinct()
-    name = groups.select("gid", F.col(hub).alias("sig"))
-    between = (between.join(name.withColumnRenamed("sig", "a"), "gid").drop("gid")
-               .join(name.withColumnsRenamed({"gid": "to", "sig": "b"}), "to").select("a", "b"))
-    within = members.join(groups.where("size > 1").select("gid", F.col(hub).alias("a")), "gid").where("a <> sig").select("a", F.col("sig").alias("b"))
+    fits = (F.col("g") != F.col("h.g")) & _fits(percent, F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"))
+    between = lists.join(chosen, ["token", "band"]).where(fits).select("g", F.col("h.g").alias("to")).distinct()
+    name = groups.select("g", F.col(hub).alias("sig"))
+    between = (between.join(name.withColumnRenamed("sig", "a"), "g").drop("g")
+               .join(name.withColumnsRenamed({"g": "to", "sig": "b"}), "to").select("a", "b"))
+    within = members.join(groups.where("size > 1").select("g", F.col(hub).alias("a")), "g").where("a <> sig").select("a", F.col("sig").alias("b"))
     return between.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -282,21 +300,21 @@ def _components(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataF
     return classes.join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
-def _left_over(lists: DataFrame, groups: DataFrame, part_of: DataFrame, percent: int) -> DataFrame:
+def _left_over(lists: DataFrame, part_of: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that may link and are not in one component yet."""
-    ends = part_of.groupBy("gid").agg(F.min("component").alias("cmin"), F.max("component").alias("cmax"))
-    entries = lists.join(ends, "gid")
+    ends = part_of.groupBy("g").agg(F.min("component").alias("cmin"), F.max("component").alias("cmax"))
+    entries = lists.join(ends, "g")
     mixed = entries.groupBy("token", "band").agg(F.min("cmin").alias("lo"), F.max("cmax").alias("hi")).where("lo <> hi").select("token", "band")
     entries = entries.join(mixed, ["token", "band"], "left_semi")
     x, y = entries.where("low").alias("x"), entries.alias("y")
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & F.col("y.low") & (F.col("x.gid") < F.col("y.gid")))
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & F.col("y.low") & (F.col("x.g") < F.col("y.g")))
     apart = (F.col("x.cmin") != F.col("y.cmax")) | (F.col("x.cmax") != F.col("y.cmin"))
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & ordered & apart
     fits = _fits(percent, F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
-    pairs = x.join(y, on & fits).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
-    pairs = pairs.unionByName(ends.where("cmin <> cmax").select(F.col("gid").alias("g"), F.col("gid").alias("h")))
-    one = part_of.select(F.col("gid").alias("g"), F.col("sig").alias("a"), F.col("component").alias("ca"))
-    two = part_of.select(F.col("gid").alias("h"), F.col("sig").alias("b"), F.col("component").alias("cb"))
+    pairs = x.join(y, on & fits).select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
+    pairs = pairs.unionByName(ends.where("cmin <> cmax").select(F.col("g"), F.col("g").alias("h")))
+    one = part_of.select("g", F.col("sig").alias("a"), F.col("component").alias("ca"))
+    two = part_of.select(F.col("g").alias("h"), F.col("sig").alias("b"), F.col("component").alias("cb"))
     both = pairs.join(one, "g").join(two, "h").where("ca <> cb and (g <> h or a < b)")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
