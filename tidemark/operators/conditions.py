@@ -74,10 +74,6 @@ def _element(attribute: Attribute) -> T.DataType:
     return kind.elementType if isinstance(kind, T.ArrayType) else kind
 
 
-def _surely(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 def _any(columns: list[Column]) -> Column:
     return reduce(Column.__or__, columns) if columns else F.lit(False)
 
@@ -87,7 +83,7 @@ def eq(c: Column, value, a: Attribute) -> Column:
     if value is None:
         return c.isNull()
     one = literal(value, _element(a))
-    return _surely(F.array_contains(c, one)) if a.is_array else _surely(c == one)
+    return F.array_contains(c, one) if a.is_array else c == one
 
 
 def eq_in(c: Column, values, a: Attribute) -> Column:
@@ -96,11 +92,11 @@ def eq_in(c: Column, values, a: Attribute) -> Column:
     given = [v for v in values if v is not None]
     kind = _element(a)
     if a.is_array:
-        found = _surely(F.arrays_overlap(c, literal(given, T.ArrayType(kind)))) if given else F.lit(False)
+        found = F.arrays_overlap(c, literal(given, T.ArrayType(kind))) if given else F.lit(False)
     elif a.is_struct:
-        found = _any([_surely(c == literal(v, kind)) for v in given])
+        found = _any([c == literal(v, kind) for v in given])
     else:
-        found = _surely(c.isin([literal(v, kind) for v in given])) if given else F.lit(False)
+        found = c.isin([literal(v, kind) for v in given]) if given else F.lit(False)
     return found | c.isNull() if len(given) < len(values) else found
 
 
@@ -109,7 +105,7 @@ def in_range(c: Column, bounds: dict, a: Attribute) -> Column:
     out = F.lit(True)
     for name, compare in (("from", Column.__ge__), ("to", Column.__le__)):
         if name in (bounds or {}):
-            out = out & (F.lit(False) if bounds[name] is None else _surely(compare(c, literal(bounds[name], _element(a)))))
+            out = out & (F.lit(False) if bounds[name] is None else compare(c, literal(bounds[name], _element(a))))
     return out
 
 
@@ -118,11 +114,11 @@ def icontains(c: Column, value, a: Attribute) -> Column:
     if value is None:
         return F.lit(False)
     pattern = F.concat(F.lit("%"), value if isinstance(value, Column) else F.lit(str(value)), F.lit("%"))
-    return _surely(F.exists(c, lambda x: F.ilike(x, pattern))) if a.is_array else _surely(F.ilike(c, pattern))
+    return F.exists(c, lambda x: F.ilike(x, pattern)) if a.is_array else F.ilike(c, pattern)
 
 
 def starts_with(c: Column, value, a: Attribute) -> Column:
-    return F.lit(False) if value is None else _surely(c.startswith(str(value)))
+    return F.lit(False) if value is None else c.startswith(str(value))
 
 
 def search_range(c: Column, bounds: dict, a: Attribute) -> Column:
@@ -136,8 +132,8 @@ def search_icontains(c: Column, value, a: Attribute) -> Column:
         return F.lit(False)
     at = F.col(a.config["field"]) if "field" in a.config else c
     if a.is_array:
-        return _surely(F.exists(at, lambda x: F.lower(x).contains(str(value).lower())))
-    return _surely(F.lower(at).contains(str(value).lower()))
+        return F.exists(at, lambda x: F.lower(x).contains(str(value).lower()))
+    return F.lower(at).contains(str(value).lower())
 
 
 REGISTRY = Registry()
@@ -150,7 +146,11 @@ REGISTRY.add_method("plain", {"eq": eq, "eqIn": eq_in, "range": in_range, "icont
 
 @dataclass
 class Compiled:
-    """A predicate over the table's own columns, and semi joins to related ones."""
+    """A predicate over the table's own columns, and semi joins to related ones.
+
+    The predicate is null where a column is null, which a filter takes as false;
+    wrapping it would keep it from the Parquet scan.
+    """
 
     where: Column
     related: list[tuple]  # (relation, target spec, compiled condition)

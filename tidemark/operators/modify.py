@@ -44,7 +44,7 @@ def update_where(target: DataFrame, spec: TableSpec, condition: dict | None, pat
     if condition and any(spec.relation(k) for k in condition):
         rest = target.join(chosen.select(*spec.primary), list(spec.primary), "left_anti").select(*spec.columns)
     else:  # a predicate over the row itself needs no join
-        rest = target.where(~compile_condition(spec, condition, specs).own_only()).select(*spec.columns)
+        rest = target.where(~F.coalesce(compile_condition(spec, condition, specs).own_only(), F.lit(False))).select(*spec.columns)
     return Modified(rest.unionByName(rows), rows)
 
 

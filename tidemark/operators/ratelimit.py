@@ -99,7 +99,9 @@ def limit_key(name: Column, api_name: Column, key: Column) -> Column:
 def windows_in_order(keys: np.ndarray, micros: np.ndarray, length: int, last: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple | None]:
     """(number in its window, end of its window) of requests sorted by key and time; ``last`` is the state before them."""
     n, reset = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    if not len(keys):
+        return n, reset, last
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     for at, end in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True):
         opened, used = (last[1], last[2]) if last and last[0] == keys[at] else (None, 0)
         while at < end:

@@ -365,7 +365,8 @@ def nested_insert_keys(spark, sf):
 
 
 # ------------------------------------------------------------------ changes
-_TS = F.lit("2024-01-01 00:00:00").cast("timestamp")
+def _ts():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
 def _before_after(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -377,13 +378,13 @@ def _before_after(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query("SELECT c_custkey AS k, c_name AS name, 'public.customer.INSERT' AS topic FROM customer WHERE c_nationkey = 3")
 def capture_insert_q(spark, sf):
-    ev = capture_insert(table(spark, sf, "customer").where("c_nationkey = 3"), SPECS["customer"], _TS)
+    ev = capture_insert(table(spark, sf, "customer").where("c_nationkey = 3"), SPECS["customer"], _ts())
     return ev.select(F.variant_get("row_data", "$.c_custkey", "bigint").alias("k"), F.variant_get("row_data", "$.c_name", "string").alias("name"), "topic")
 
 
 @query("SELECT c_custkey AS k, c_acctbal AS bal, 'DELETE' AS op FROM customer WHERE c_nationkey = 4")
 def capture_delete_q(spark, sf):
-    ev = capture_delete(table(spark, sf, "customer").where("c_nationkey = 4"), SPECS["customer"], _TS)
+    ev = capture_delete(table(spark, sf, "customer").where("c_nationkey = 4"), SPECS["customer"], _ts())
     return ev.select(F.variant_get("row_data", "$.c_custkey", "bigint").alias("k"), F.variant_get("row_data", "$.c_acctbal", "double").alias("bal"), "op")
 
 
@@ -393,7 +394,7 @@ _DIFF = ("SELECT c_custkey AS k, 'c_acctbal' AS key, (c_acctbal + 1)::VARCHAR IS
 
 @query(_DIFF)
 def capture_update_q(spark, sf):
-    ev = capture_update(*_before_after(spark, sf), SPECS["customer"], _TS)
+    ev = capture_update(*_before_after(spark, sf), SPECS["customer"], _ts())
     return ev.select(F.variant_get("row_before", "$.c_custkey", "bigint").alias("k"), F.explode(F.map_keys(as_map(F.col("diff")))).alias("key"), F.lit(True).alias("some"))
 
 
