@@ -38,7 +38,7 @@ OPEN_BITS = 27
 NO_KEY = 2**63 - 1
 #: Low bits of a window's key that hold the place; a text has fewer bytes than this.
 PLACE = np.uint64(31)
-_SPAN = "kind int, h long, g long, doc long, tag int, start int, span int"
+_SPAN = "kind int, h long, g int, doc long, tag int, start int, span int"
 
 
 class Anchors:
@@ -132,6 +132,11 @@ def _shared_buckets(docs: DataFrame, length: int) -> np.ndarray:
     return table.ravel()
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """32 bits that go beside 64 others; 96 bits tell strings apart."""
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _settle(h, g, doc, tag, start, span):
     """Rows of a task as one Arrow batch: settled ones (kind 0), and those of each key's least document (kind 2)."""
     order = np.lexsort((doc, g, h))
@@ -146,7 +151,7 @@ def _settle(h, g, doc, tag, start, span):
     col = lambda a, b, t: pa.array(np.concatenate([a, b]).astype(t))
     keep = ~later
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind), col(zero, h[keep].view(np.int64), np.int64), col(zero, g[keep].view(np.int64), np.int64), col(doc0, doc[keep], np.int64),
+        [pa.array(kind), col(zero, h[keep].view(np.int64), np.int64), col(zero, g[keep], np.int32), col(doc0, doc[keep], np.int64),
          col(tag0, tag[keep], np.int32), col(start0, start[keep], np.int32), col(span0, span[keep], np.int32)],
         ["kind", "h", "g", "doc", "tag", "start", "span"])
 
@@ -176,7 +181,7 @@ def _regions(docs: DataFrame, length: int, table) -> DataFrame:
             for doc, tag, a in _slices(batch, length):
                 on = np.flatnonzero(_bit((a.h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), bits))
                 row = a.row[on]
-                held.append((a.h[on], a.region[on], doc[row], tag[row], a.first[on] - a.offsets[row], a.last[on] - a.first[on] + length))
+                held.append((a.h[on], _short(a.region[on]), doc[row], tag[row], a.first[on] - a.offsets[row], a.last[on] - a.first[on] + length))
         if held:
             yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -191,7 +196,7 @@ def _windows(docs: DataFrame, length: int, table) -> DataFrame:
                 slot = (a.h.view(np.int64) % (1 << OPEN_BITS)).astype(np.int64)
                 name, anchor, start = a.windows(np.flatnonzero(_bit(slot, bits)))
                 row = a.row[anchor]
-                held.append((name, a.h[anchor], doc[row], tag[row], start - a.offsets[row], np.full(len(row), length)))
+                held.append((name, _short(a.h[anchor]), doc[row], tag[row], start - a.offsets[row], np.full(len(row), length)))
         if held:
             yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -247,7 +252,7 @@ def _refine(rows: DataFrame) -> DataFrame:
 def _open(names: list) -> pa.RecordBatch:
     zero = pa.array([0] * len(names), pa.int64())
     small = zero.cast(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([1] * len(names), pa.int32()), pa.array(names, pa.int64()), zero, zero, small, small, small],
+    return pa.RecordBatch.from_arrays([pa.array([1] * len(names), pa.int32()), pa.array(names, pa.int64()), small, zero, small, small, small],
                                       ["kind", "h", "g", "doc", "tag", "start", "span"])
 
 
@@ -262,12 +267,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    tag = F.hash(text_or_empty(text))
+    # A tag tells rows apart that share a key; where none do, it is 0 and costs nothing.
+    repeated = bool(docs.groupBy(doc.alias("doc")).count().where("count > 1").head(1))
+    tag = F.hash(text_or_empty(text)) if repeated else F.lit(0)
     narrow = docs.select(doc.alias("doc"), tag.alias("tag"), text_or_empty(text).alias("text"))
     table = spark.sparkContext.broadcast(_shared_buckets(narrow, length))
     found = scratch.table(_refine(_regions(narrow, length, table)), "regions", ("kind",))
     left = spark.sparkContext.broadcast(bit_filter(found.where("kind = 1"), "h", OPEN_BITS))
-    single = _refine(_windows(narrow, length, left)).where("kind = 0")
+    single = scratch.table(_refine(_windows(narrow, length, left)).where("kind = 0"), "windows")
     spans = (found.where("kind = 0").select("doc", "tag", "start", "span").unionByName(single.select("doc", "tag", "start", "span"))
              .groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "span")).alias("__spans"))
              .withColumnsRenamed({"doc": "__doc", "tag": "__tag"}))

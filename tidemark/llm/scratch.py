@@ -7,6 +7,7 @@ made the table.  The folder is the one that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,8 +47,19 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        del df
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps.
+
+        Spark does so when the driver's objects for them are collected, which a
+        driver with a large heap may put off until the disks are full.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
