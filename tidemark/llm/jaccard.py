@@ -140,14 +140,14 @@ def _bit(slots: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def bit_filter(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit table with the slots (column mod 2**bits) set; at most 2**(bits - 3) bytes come to the driver."""
-    slots = values.select(F.pmod(F.col(column), F.lit(1 << bits)).alias("slot"))
+    slots = values.select((F.pmod(F.col(column), F.lit(1 << bits)) + 1).alias("slot"))
     found = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
     table = np.zeros(max(1, 1 << (bits - 3)), np.uint8)
     for b, raw in found:
-        # Bucket 1 holds slots 1 to 32768 at places 0 to 32767; slot 0 is bucket 0's last.
+        # Bucket b holds the numbers (b - 1) * 32768 + 1 and on; they are one more than the slots.
         part = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
-        slots_in = np.flatnonzero(part) + (b - 1) * 32768 + 1
+        slots_in = np.flatnonzero(part) + (b - 1) * 32768
         np.bitwise_or.at(table, slots_in >> 3, np.left_shift(np.uint8(1), (slots_in & 7).astype(np.uint8)))
     return table
 
