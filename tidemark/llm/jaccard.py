@@ -2,8 +2,8 @@
 
 Every text is the set of its word shingles.  Shingles have one global order:
 first by how often their slot of a fixed-size count sketch over the whole
-corpus was hit (in powers of two), then by hash; any order gives right results,
-this one keeps common passages out of the prefixes.  Two sets can reach the
+corpus was hit, then by hash; any order gives right results, this one keeps
+shared shingles out of the prefixes, as a text has others in emptier slots.  Two sets can reach the
 threshold only if their prefixes share a shingle and their sizes are close.
 
 Equal sets are one class.  Classes of equal size and equal prefix are one
@@ -26,7 +26,7 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.text import byte_chunks, fold, mix64, prefix_hash, span_hash, word_spans
 
-#: Counters of the sketch, fixed whatever the corpus: 2 MB as broadcast classes.
+#: Counters of the sketch, fixed whatever the corpus: 8 MB as broadcast.
 SKETCH_BITS = 21
 SLICE_BITS = 15
 #: Bits of the filter that tells which sets to gather: 16 MB at most.
@@ -77,8 +77,8 @@ def _signature(a: np.ndarray, salt: int = 0) -> bytes:
     return one.tobytes() + two.tobytes()
 
 
-def sketch_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """uint8 per slot: how many times twice the slot's load is the mean, as a power of two."""
+def sketch_loads(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """The load of every slot of the sketch."""
     size = 1 << SKETCH_BITS
 
     def count(batches):
@@ -104,8 +104,7 @@ def sketch_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
     counts = np.zeros((slices, 1 << SLICE_BITS), np.int64)
     for k, raw in found:
         counts[k] = np.frombuffer(raw, np.int64)
-    counts = counts.ravel()
-    return np.log2(np.maximum(counts / max(2.0 * counts.mean(), 1.0), 1.0)).astype(np.uint8)
+    return np.minimum(counts.ravel(), 2**32 - 1).astype(np.uint32)
 
 
 def _describe(docs: DataFrame, key: str, text: str, width: int, percent: int, classes) -> DataFrame:
@@ -230,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    classes = spark.sparkContext.broadcast(sketch_classes(docs, text, width))
+    classes = spark.sparkContext.broadcast(sketch_loads(docs, text, width))
     rows = scratch.table(_describe(docs, key, text, width, percent, classes), "rows")
     owned = scratch.table(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(
         F.min("key").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("g").alias("g"), F.first("prefix").alias("prefix")), "classes")
