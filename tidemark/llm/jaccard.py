@@ -151,7 +151,7 @@ def bit_filter(values: DataFrame, column: str, bits: int) -> np.ndarray:
     return table
 
 
-def _lists(groups: DataFrame) -> DataFrame:
+def _lists(groups: DataFrame, percent: int) -> DataFrame:
     """Entries (token, band, low, pos, n, g) of tokens that two groups have in their prefixes.
 
     ``low`` entries may be the smaller of a pair: a pair whose sizes fit is in
@@ -160,7 +160,7 @@ def _lists(groups: DataFrame) -> DataFrame:
     """
     tokens = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
-    band = F.floor(F.log("n") / float(np.log(1 / 0.89)))
+    band = F.floor(F.log("n") / float(-np.log(percent / 100 - 0.01)))  # wider than the sizes of a pair can differ
     as_low = F.struct(band.alias("band"), F.lit(True).alias("low"))
     as_high = F.struct((band - 1).alias("band"), F.lit(False).alias("low"))
     return (tokens.join(shared, "token", "left_semi").select("token", "pos", "n", "g", F.explode(F.array(as_low, as_high)).alias("p"))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     groups = scratch.table(owned.groupBy("gid").agg(
         F.first("g").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("sig").alias("hub"), F.max("sig").alias("hub2"),
         F.count(F.lit(1)).alias("size")), "groups")
-    lists = scratch.table(_lists(groups), "lists")
+    lists = scratch.table(_lists(groups, percent), "lists")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Verify candidates, gathering the sets of those only that their prefixes leave."""
