@@ -10,8 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    session = (SparkSession.builder.master("local[4]").appName("tidemark-tests")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    session = (SparkSession.builder.master("local[2]").appName("tidemark-tests")
+               .config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -36,6 +36,8 @@ BUCKET_BITS = 28
 SLICE_BITS = 18
 OPEN_BITS = 27
 NO_KEY = 2**63 - 1
+#: Bytes that are hashed together, and rows that a task settles together: both bound its memory.
+CHUNK, TOGETHER = 1 << 19, 1 << 19
 #: Low bits of a window's key that hold the place; a text has fewer bytes than this.
 PLACE = np.uint64(31)
 _SPAN = "kind int, h long, g int, doc long, tag int, start int, span int"
@@ -89,7 +91,7 @@ class Anchors:
 def _slices(batch, length):
     """(doc, tag, anchors) by slices of a batch (doc, tag, text)."""
     docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for lo, hi, data, offsets in byte_chunks(batch.column(2)):
+    for lo, hi, data, offsets in byte_chunks(batch.column(2), CHUNK):
         yield docs[lo:hi], tags[lo:hi], Anchors(data, offsets, length)
 
 
@@ -182,6 +184,9 @@ def _regions(docs: DataFrame, length: int, table) -> DataFrame:
                 on = np.flatnonzero(_bit((a.h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), bits))
                 row = a.row[on]
                 held.append((a.h[on], _short(a.region[on]), doc[row], tag[row], a.first[on] - a.offsets[row], a.last[on] - a.first[on] + length))
+                if sum(len(x[0]) for x in held) > TOGETHER:
+                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held.clear()
         if held:
             yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -197,6 +202,9 @@ def _windows(docs: DataFrame, length: int, table) -> DataFrame:
                 name, anchor, start = a.windows(np.flatnonzero(_bit(slot, bits)))
                 row = a.row[anchor]
                 held.append((name, _short(a.h[anchor]), doc[row], tag[row], start - a.offsets[row], np.full(len(row), length)))
+                if sum(len(x[0]) for x in held) > TOGETHER:
+                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held.clear()
         if held:
             yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -275,6 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     found = scratch.table(_refine(_regions(narrow, length, table)), "regions", ("kind",))
     left = spark.sparkContext.broadcast(bit_filter(found.where("kind = 1"), "h", OPEN_BITS))
     single = scratch.table(_refine(_windows(narrow, length, left)).where("kind = 0"), "windows")
+    scratch.release()
     spans = (found.where("kind = 0").select("doc", "tag", "start", "span").unionByName(single.select("doc", "tag", "start", "span"))
              .groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "span")).alias("__spans"))
              .withColumnsRenamed({"doc": "__doc", "tag": "__tag"}))

@@ -40,6 +40,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write ``df`` and read it back with the schema that was written."""
+        self.release()
         path = self.path(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
@@ -47,8 +48,6 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        del df
-        self.release()
         return out
 
     def release(self) -> None:
