@@ -248,12 +248,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         reps = owned.join(ends, "sig", "left_semi").select(F.xxhash64("rep").alias("h"))
         table = spark.sparkContext.broadcast(bit_filter(reps, "h", FILTER_BITS))
         sets = scratch.table(_chosen_sets(docs, key, text, width, table).groupBy("sig").agg(F.first("members").alias("members")), f"{name}-sets")
-        return scratch.table(_verify(some, sets, percent), f"{name}-links")
+        links = scratch.table(_verify(some, sets, percent), f"{name}-links")
+        scratch.drop(sets)
+        scratch.drop(some)
+        return links
 
     stars = [_star(lists, groups, members, pick, hub, percent) for pick, hub in ((F.min, "hub"), (F.max, "hub2"))]
     links = confirmed(stars[0].unionByName(stars[1]).distinct(), "star")
     part_of = scratch.table(_components(members, links, scratch), "parts")
     links = links.unionByName(confirmed(_left_over(lists, part_of, percent), "rest"))
+    for done in (lists, groups, part_of):
+        scratch.drop(done)
     part_of = _components(owned.select("sig", "rep"), links, scratch)
     least = part_of.groupBy("component").agg(F.min("rep").alias("least"))
     named = part_of.join(least, "component").select("sig", "least")
