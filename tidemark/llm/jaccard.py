@@ -253,13 +253,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         scratch.drop(some)
         return links
 
-    stars = [_star(lists, groups, members, pick, hub, percent) for pick, hub in ((F.min, "hub"), (F.max, "hub2"))]
+    stars = [_star(lists, groups, members, hub, percent) for hub in ("hub", "hub2")]
     links = confirmed(stars[0].unionByName(stars[1]).distinct(), "star")
-    part_of = scratch.table(_components(members, links, scratch), "parts")
-    links = links.unionByName(confirmed(_left_over(lists, part_of, percent), "rest"))
-    for done in (lists, groups, part_of):
-        scratch.drop(done)
-    part_of = _components(owned.select("sig", "rep"), links, scratch)
+    part_of = scratch.table(_components(owned.select("sig", "rep", "g"), links, scratch), "parts")
+    more = confirmed(_left_over(lists, part_of, percent), "rest")
+    scratch.drop(lists)
+    scratch.drop(groups)
+    if not more.isEmpty():  # join the components that the new links connect
+        of = part_of.select("sig", "component")
+        across = (more.join(of.withColumnsRenamed({"sig": "a", "component": "ca"}), "a").join(of.withColumnsRenamed({"sig": "b", "component": "cb"}), "b")
+                  .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        onto = connected_components(across, scratch).withColumnsRenamed({"node": "component", "component": "onto"})
+        part_of = part_of.join(onto, "component", "left").withColumn("component", F.coalesce("onto", "component"))
     least = part_of.groupBy("component").agg(F.min("rep").alias("least"))
     named = part_of.join(least, "component").select("sig", "least")
     return rows.join(named, "sig", "left").select(
@@ -285,10 +290,11 @@ def _chosen_sets(docs: DataFrame, key: str, text: str, width: int, table) -> Dat
     return docs.select(slot.alias("slot"), text).mapInArrow(choose, "sig binary, members binary")
 
 
-def _star(lists: DataFrame, groups: DataFrame, members: DataFrame, pick, hub: str, percent: int) -> DataFrame:
+def _star(lists: DataFrame, groups: DataFrame, members: DataFrame, hub: str, percent: int) -> DataFrame:
     """Pairs of classes: each list's chosen group with its others, each group's chosen class with its others."""
-    entry = F.struct("g", "n", "pos", "low")
-    chosen = lists.groupBy("token", "band").agg(pick(entry).alias("h"))
+    # Few tokens before the shared one means few that the others lack: the likeliest to link with many.
+    order = F.col("g") if hub == "hub" else F.xxhash64("g")
+    chosen = lists.groupBy("token", "band").agg(F.min(F.struct("pos", order.alias("by"), "g", "n")).alias("h"))
     fits = (F.col("g") != F.col("h.g")) & _fits(percent, F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"))
     between = lists.join(chosen, ["token", "band"]).where(fits).select("g", F.col("h.g").alias("to")).distinct()
     name = groups.select("g", F.col(hub).alias("sig"))
