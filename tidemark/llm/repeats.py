@@ -37,7 +37,7 @@ SLICE_BITS = 18
 OPEN_BITS = 27
 NO_KEY = 2**63 - 1
 #: Bytes that are hashed together, and rows that a task settles together: both bound its memory.
-CHUNK, TOGETHER = 1 << 19, 1 << 19
+CHUNK, TOGETHER = 1 << 19, 1 << 20
 #: Low bits of a window's key that hold the place; a text has fewer bytes than this.
 PLACE = np.uint64(31)
 _SPAN = "kind int, h long, g int, doc long, tag int, start int, span int"
