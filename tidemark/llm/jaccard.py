@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         of = part_of.select("sig", "component")
         across = (more.join(of.withColumnsRenamed({"sig": "a", "component": "ca"}), "a").join(of.withColumnsRenamed({"sig": "b", "component": "cb"}), "b")
                   .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        onto = connected_components(across, scratch).withColumnsRenamed({"node": "component", "component": "onto"})
+        onto = connected_components(across, scratch).select(F.col("node").alias("component"), F.col("component").alias("onto"))
         part_of = part_of.join(onto, "component", "left").withColumn("component", F.coalesce("onto", "component"))
     least = part_of.groupBy("component").agg(F.min("rep").alias("least"))
     named = part_of.join(least, "component").select("sig", "least")
