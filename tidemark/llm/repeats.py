@@ -11,8 +11,9 @@ whether a string of ``length`` bytes also starts in an earlier document.
 2. Refinement.  Within a q-gram's bucket, regions are sorted on the identifier
    of the bytes at all later offsets they reach.  A region that an earlier
    document has too is settled as a whole.
-3. Where a bucket holds different regions, it is refined once more, to the
-   identifiers of single windows; the buckets of step 2 say which are left.
+3. Where a bucket holds different regions, those not settled are refined once
+   more, to the identifiers of single windows.  A region that an earlier document
+   has too is left out: its windows are settled, and the earlier one has them.
 
 Each task settles what its own documents settle before anything is shuffled,
 and sends a key on for its least document only.  So a passage of a third of
@@ -158,6 +159,11 @@ def _settle(h, g, doc, tag, start, span):
         ["kind", "h", "g", "doc", "tag", "start", "span"])
 
 
+def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Names of places in documents; places that share one by chance are only refined in vain."""
+    return mix64(mix64(doc.astype(np.int64).view(np.uint64)) + start.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
 def _merge(doc, tag, start, span):
     """Overlapping and touching spans of a document as one."""
     if not len(doc):
@@ -198,7 +204,7 @@ def _windows(docs: DataFrame, length: int, table) -> DataFrame:
         bits, held = table.value, []
         for batch in batches:
             for doc, tag, a in _slices(batch, length):
-                slot = (a.h.view(np.int64) % (1 << OPEN_BITS)).astype(np.int64)
+                slot = _place(doc[a.row], a.first - a.offsets[a.row]) % (1 << OPEN_BITS)
                 name, anchor, start = a.windows(np.flatnonzero(_bit(slot, bits)))
                 row = a.row[anchor]
                 held.append((name, _short(a.h[anchor]), doc[row], tag[row], start - a.offsets[row], np.full(len(row), length)))
@@ -212,12 +218,16 @@ def _windows(docs: DataFrame, length: int, table) -> DataFrame:
 
 
 def _refine(rows: DataFrame) -> DataFrame:
-    """Settle across tasks.  Kind 0: a settled span.  Kind 1: an h whose regions differ and are left to refine."""
+    """Settle across tasks.  Kind 0: a settled span.  Kind 1: the place (as h) of a region left to refine.
+
+    Regions are left where two documents have different ones under one h and neither is settled.
+    """
     spread = F.when(F.col("kind") == 0, F.xxhash64("doc", "start")).otherwise(F.col("h"))
     ordered = rows.repartition(spread).sortWithinPartitions("kind", "h", "g", "doc")
 
     def run(batches):
         last = None  # (h, g, least doc of both, least and greatest of these over h)
+        held = []  # places under the last h as long as one document has them all
         for batch in batches:
             kind = batch.column(0).to_numpy()
             done = np.flatnonzero(kind == 0)
@@ -229,38 +239,46 @@ def _refine(rows: DataFrame) -> DataFrame:
             h, g, doc = (batch.column(i).to_numpy() for i in (1, 2, 3))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            region = np.cumsum(new) - 1
             least = doc[new]
             if last and (h[0], g[0]) == last[:2]:
                 least[0] = last[2]
-            settled = doc > least[np.cumsum(new) - 1]
+            settled = doc > least[region]
             heads = np.flatnonzero(new)
             new_h = np.ones(len(heads), bool)
             new_h[1:] = h[heads][1:] != h[heads][:-1]
             at = np.flatnonzero(new_h)
             lo, hi = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
-            names = h[heads][at]
-            if last and names[0] == last[0]:
+            if last and h[0] == last[0]:
                 lo[0], hi[0] = min(lo[0], last[3]), max(hi[0], last[4])
-            open_ = names[:-1][lo[:-1] < hi[:-1]].tolist()
-            if last and names[0] != last[0] and last[3] < last[4]:
-                open_.append(last[0])
+            else:
+                held = []
             last = (h[-1], g[-1], least[-1], lo[-1], hi[-1])
             on = np.flatnonzero(settled)
             if len(on):
                 part = batch.take(pa.array(on))
                 yield part.set_column(0, "kind", pa.array(np.zeros(len(on), np.int32)))
-            if open_:
-                yield _open(open_)
-        if last and last[3] < last[4]:
-            yield _open([last[0]])
+            bucket = (np.cumsum(new_h) - 1)[region]
+            differs = lo < hi
+            place = _place(doc, batch.column(5).to_numpy())
+            left = [place[~settled & differs[bucket]]]
+            if differs[0]:
+                left, held = left + held, []
+            if len(at) > 1:
+                held = []
+            if not differs[-1]:
+                held.append(place[~settled & (bucket == len(at) - 1)])
+            left = np.concatenate(left)
+            if len(left):
+                yield _open(left)
 
     return ordered.mapInArrow(run, _SPAN)
 
 
-def _open(names: list) -> pa.RecordBatch:
-    zero = pa.array([0] * len(names), pa.int64())
+def _open(names: np.ndarray) -> pa.RecordBatch:
+    zero = pa.array(np.zeros(len(names), np.int64))
     small = zero.cast(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([1] * len(names), pa.int32()), pa.array(names, pa.int64()), small, zero, small, small, small],
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(names), np.int32)), pa.array(names), small, zero, small, small, small],
                                       ["kind", "h", "g", "doc", "tag", "start", "span"])
 
 
