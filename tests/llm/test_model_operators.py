@@ -125,6 +125,14 @@ def test_lm_edges(edge, edge_rows, none, monkeypatch):
     assert lattice_lm.score(none).count() == 0
 
 
+def test_lm_weights_see_all_words(edge, monkeypatch):
+    plain = lambda: Counter((r.doc_id, f"{r.score:.6f}") for r in lattice_lm.score(edge).collect())
+    want = plain()
+    for frequent in (5, 1):
+        monkeypatch.setattr(lattice_lm, "FREQUENT", frequent)
+        assert plain() == want
+
+
 def test_lm_learns(spark):
     got = lattice_lm.op4_lm_score(spark, SF).collect()
     held = [r for r in got if r.held_out]

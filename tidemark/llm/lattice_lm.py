@@ -6,8 +6,8 @@ A token (a word, or the end of a text) of class k has probability
 
 where the lattice sums all segmentations of the word into pieces of a fixed
 vocabulary, and the first term is the path that takes a learned word as one
-piece.  Piece weights start as the vocabulary's own scores and get an
-expectation step over the commonest training words and one over all of them; u_k is twice the share of tokens
+piece.  Piece weights start as the vocabulary's own scores and get two
+expectation steps over all training words; u_k is twice the share of tokens
 whose word is seen once, after Good and Turing.  Classes are the languages, and a text's probability is the
 mixture over classes, so a text need not tell its language.
 """
@@ -29,6 +29,7 @@ from tidemark.llm.text import byte_chunks, text_or_empty
 #: The commonest words travel by broadcast, so many at most; the others are joined.
 FREQUENT = 1 << 18
 MAX_CLASSES = 8
+STEPS = 2
 FLUSH = 300_000
 #: The vocabulary's own scores weigh as much as so many uses of pieces.
 PRIOR_USES = 1000
@@ -81,10 +82,12 @@ def word_counts(docs: DataFrame, n_classes: int) -> DataFrame:
     return parts.groupBy("word").agg(F.array(*by_class).alias("c"))
 
 
-def learn_weights(words: DataFrame, common: DataFrame, vocabulary, n_classes: int) -> np.ndarray:
-    """Log piece weights, classes x rows: one expectation step over the common words to start from, one over all."""
-    start = _expected(common, vocabulary, n_classes, vocabulary.prior).sum(axis=0)
-    total = _expected(words, vocabulary, n_classes, np.log(start / start.sum()))
+def learn_weights(words: DataFrame, steps: int, vocabulary, n_classes: int) -> np.ndarray:
+    """Log piece weights, classes x rows, after ``steps`` expectation steps, each over all of ``words``."""
+    shared = vocabulary.prior
+    for _ in range(steps):
+        total = _expected(words, vocabulary, n_classes, shared)
+        shared = np.log(total.sum(axis=0) / total.sum())
     return np.log(total / total.sum(axis=1, keepdims=True))
 
 
@@ -145,9 +148,8 @@ def score(docs: DataFrame, model: str = pieces.DEFAULT_MODEL, key: str = "doc_id
     sized = words.withColumn("all", total_c)
     least = kth_largest(sized, "all", FREQUENT) if distinct > FREQUENT else 0
     # Words that tie with the last one stay out, so the bound holds.
-    common = sized.where(F.col("all") > least).drop("all")
-    weights = learn_weights(words, common, vocabulary, n_classes)
-    top = common.collect()
+    top = sized.where(F.col("all") > least).drop("all").collect()
+    weights = learn_weights(words, STEPS, vocabulary, n_classes)
     strings = [bytes(r[0]) for r in top]
     frequent = {w: i for i, w in enumerate(strings)}
     top_c = np.array([r[1] for r in top], float).reshape(-1, n_classes)
