@@ -57,6 +57,16 @@ def test_quality_edges(spark, edge, none, edge_rows):
     assert quality.select(none, labels).count() == 0
 
 
+def test_quality_of_balanced_labels(spark):
+    docs, _ = labelled(spark)
+    kind = lambda i: {3: 1, 4: 2}.get(i % 5, 0)
+    taken = [i for k in range(3) for i in [i for i in range(400) if kind(i) == k][:60]]
+    labels = spark.createDataFrame([(i, int(kind(i) != 2), int(kind(i) == 1)) for i in taken], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.select(docs, labels).collect()}
+    good, bad = [i for i in range(400) if not kind(i)], [i for i in range(400) if kind(i)]
+    assert sum(i in kept for i in good) >= 0.9 * len(good) and sum(i in kept for i in bad) <= 0.1 * len(bad)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.standard_normal(3000), np.full(500, 0.25), [1e9, -1e9]])

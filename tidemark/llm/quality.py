@@ -72,8 +72,8 @@ def group_of(docs: DataFrame, lang: str) -> tuple[Column, int]:
     return group.cast("int"), len(named) + 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: Column, n_groups: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log rate of each bucket relative to all kinds, by kind and group; log share of each kind).
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: Column, n_groups: int, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(log rate of each bucket relative to all kinds, by kind and group; log share of each kind; number of labelled documents).
 
     Copies of one text with one kind count as one document.
     """
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: Column,
     counts = counts.reshape(len(KINDS), n_groups, -1)
     everywhere = counts.sum(axis=0) / np.maximum(counts.sum(axis=(0, 2))[:, None], 1)
     rate = np.log((counts + SMOOTH) / (counts.sum(axis=2, keepdims=True) * everywhere + SMOOTH))
-    return rate, np.log((docs_of + 1e-9) / (docs_of.sum() + 3e-9))
+    return rate, np.log((docs_of + 1e-9) / (docs_of.sum() + 3e-9)), int(docs_of.sum())
 
 
 def weigh(docs: DataFrame, rate: np.ndarray, share: np.ndarray, text: str, group: Column) -> DataFrame:
@@ -167,9 +167,9 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """
     scratch = Scratch(docs.sparkSession, "quality")
     group, n_groups = group_of(docs, lang)
-    rate, share = fit(docs, labels, key, text, group, n_groups, limit)
+    rate, share, n_labelled = fit(docs, labels, key, text, group, n_groups, limit)
     weighed = weigh(docs, rate, share, text, group).withColumn("__key", F.col("__log_weight") + gumbel(key, seed))
-    if not np.isfinite(share).all() or share.max() < np.log(0.34):
+    if not n_labelled:
         return weighed
     narrow = scratch.table(weigh(docs.select(key, text, lang), rate, share, text, group).select(
         "__log_weight", (F.col("__log_weight") + gumbel(key, seed)).alias("__key")), "weights")
