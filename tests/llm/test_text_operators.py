@@ -133,6 +133,16 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(other, edges=extra).collect()} == {"block"}
 
 
+def test_urls_of_targets_that_are_no_rows(spark):
+    rows = [(1, "http://a.net/1", '<link rel="canonical" href="http://x.example.org/es/1?q">'), (2, "http://b.net/2", "<meta http-equiv=refresh content='0; url=http://x.example.org/es/1?q'>"),
+            (3, "http://c.net/3", None), (4, "http://d.net/4", '<link rel="canonical" href="http://x.example.org/fr/1">'), (5, "http://a.net/de/5", '<link rel="canonical" href="http://x.example.org/es/1?q">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = spark.createDataFrame([("http://c.net/3", "http://gone.example.com/en/6#top")], "a string, b string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(df, edges=edges).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+    plain = df.select("page_id", "url", F.lit(None).cast("string").alias("html"))
+    assert {r.page_id: r.verdict for r in urls.filter_urls(plain, edges=edges).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 16)) * rng.uniform(0.5, 2, (3000, 1))

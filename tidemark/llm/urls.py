@@ -3,7 +3,8 @@
 A page is judged by the longest rule that fits its host and path.  Pages that
 redirect to one another or name one another as canonical are one component;
 where a rule blocks one of them, those of its aliases that no rule judges are
-blocked as well.  A page that a rule allows stays allowed.
+blocked as well, also where the blocked one is only a link's target and no row
+of the table.  A page that a rule allows stays allowed.
 Everything here is DataFrame expressions.
 """
 
@@ -87,7 +88,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key
                         node_of(F.col(url)).alias("node"))
     seen = seen.withColumn("own", judged(rules, F.col("host"), F.col("path")))
     rows = seen.join(groups, "node", "left")
-    blocked = (seen.where(F.col("own.verdict") == "block").select("node").distinct().join(groups, "node")
+    # A node is host, path and query, so all nodes are judged, whether they are rows or not.
+    whole = F.concat(F.lit("x://"), F.col("node"))
+    blocked = (groups.where(judged(rules, host_of(whole), path_of(whole))["verdict"] == "block")
                .select("component").distinct().withColumn("tainted", F.lit(True)))
     inherited = F.when(F.col("tainted"), F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(blocked, "component", "left").select(
