@@ -251,6 +251,34 @@ def test_repeats_of_random_cuts(spark):
     assert Counter((r.doc_id, r["__n_bytes"], r["__n_removed"], r["__n_spans"], bytes(r["__kept"])) for r in got) == brute_repeats(rows, 50)
 
 
+def test_repeats_of_regions_alike_in_half_of_their_bits(spark):
+    """Two texts that share an anchor and nothing else, and the upper 32 bits of their regions' identifiers."""
+    rng = np.random.default_rng(4)
+    letters = lambda *shape: rng.integers(97, 123, shape).astype(np.uint8)
+    anchors = lambda t: repeats.Anchors(t.ravel(), np.arange(len(t) + 1) * 50, 50)
+
+    def around(gram, n):
+        texts = letters(n, 50)
+        texts[:, 13:37] = gram
+        return texts
+
+    def share(gram):  # of texts in which the q-gram is the anchor
+        return np.unique(anchors(around(gram, 200)).h, return_counts=True)[1].max()
+
+    gram = max(letters(60, 24), key=share)
+    texts = around(gram, 300_000)
+    a = anchors(texts)
+    h, n = np.unique(a.h, return_counts=True)
+    chosen = np.flatnonzero(a.h == h[n.argmax()])
+    order = chosen[np.argsort(a.region[chosen] >> np.uint64(32), kind="stable")]
+    upper = a.region[order] >> np.uint64(32)
+    at = np.flatnonzero((upper[1:] == upper[:-1]) & (a.region[order][1:] != a.region[order][:-1]))
+    assert len(at)
+    rows = [(int(2 * k + j), texts[a.row[order[i + j]]].tobytes().decode(), "en", "s", 0) for k, i in enumerate(at) for j in range(2)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert Counter((r.doc_id, r["__n_bytes"], r["__n_removed"], r["__n_spans"], bytes(r["__kept"])) for r in got) == brute_repeats(rows, 50)
+
+
 def test_repeats_of_nothing(none):
     assert repeats.remove_repeats(none).count() == 0
 

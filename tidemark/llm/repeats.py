@@ -41,7 +41,7 @@ NO_KEY = 2**63 - 1
 CHUNK, TOGETHER = 1 << 19, 1 << 20
 #: Low bits of a window's key that hold the place; a text has fewer bytes than this.
 PLACE = np.uint64(31)
-_SPAN = "kind int, h long, g int, doc long, tag int, start int, span int"
+_SPAN = "kind int, h long, g long, doc long, tag int, start int, span int"
 
 
 class Anchors:
@@ -136,8 +136,11 @@ def _shared_buckets(docs: DataFrame, length: int) -> np.ndarray:
 
 
 def _short(x: np.ndarray) -> np.ndarray:
-    """32 bits that go beside 64 others; 96 bits tell strings apart."""
-    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """32 bits that go beside a window's own 64; 96 bits tell windows apart.
+
+    Regions share h, their anchor's hash, so they have all 64 bits of their identifiers in g.
+    """
+    return x >> np.uint64(32)
 
 
 def _settle(h, g, doc, tag, start, span):
@@ -154,7 +157,7 @@ def _settle(h, g, doc, tag, start, span):
     col = lambda a, b, t: pa.array(np.concatenate([a, b]).astype(t))
     keep = ~later
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind), col(zero, h[keep].view(np.int64), np.int64), col(zero, g[keep], np.int32), col(doc0, doc[keep], np.int64),
+        [pa.array(kind), col(zero, h[keep].view(np.int64), np.int64), col(zero, g[keep].view(np.int64), np.int64), col(doc0, doc[keep], np.int64),
          col(tag0, tag[keep], np.int32), col(start0, start[keep], np.int32), col(span0, span[keep], np.int32)],
         ["kind", "h", "g", "doc", "tag", "start", "span"])
 
@@ -189,7 +192,7 @@ def _regions(docs: DataFrame, length: int, table) -> DataFrame:
             for doc, tag, a in _slices(batch, length):
                 on = np.flatnonzero(_bit((a.h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), bits))
                 row = a.row[on]
-                held.append((a.h[on], _short(a.region[on]), doc[row], tag[row], a.first[on] - a.offsets[row], a.last[on] - a.first[on] + length))
+                held.append((a.h[on], a.region[on], doc[row], tag[row], a.first[on] - a.offsets[row], a.last[on] - a.first[on] + length))
                 if sum(len(x[0]) for x in held) > TOGETHER:
                     yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held.clear()
@@ -278,7 +281,7 @@ def _refine(rows: DataFrame) -> DataFrame:
 def _open(names: np.ndarray) -> pa.RecordBatch:
     zero = pa.array(np.zeros(len(names), np.int64))
     small = zero.cast(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(names), np.int32)), pa.array(names), small, zero, small, small, small],
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(names), np.int32)), pa.array(names), zero, zero, small, small, small],
                                       ["kind", "h", "g", "doc", "tag", "start", "span"])
 
 
