@@ -222,6 +222,16 @@ def nested_read(spark, sf):
     return listed.select("o_custkey", "n_lines", F.array_join(F.transform("x", lambda v: F.concat(v["l_orderkey"], F.lit("/"), v["l_linenumber"])), ",").alias("lines"))
 
 
+@query("SELECT o_orderkey, o_custkey, count(l_orderkey) AS n_lines, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS lines "
+       "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey")
+def nested_read_all(spark, sf):
+    """Every order with its lines; orders without lines too."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    full = with_children(table(spark, sf, "orders"), lines, SPECS["orders"].relation("lines"), ["l_orderkey", "l_linenumber"], "lines")
+    return full.select("o_orderkey", "o_custkey", F.coalesce(F.array_size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+                       F.array_join(F.transform("lines", lambda v: v["l_linenumber"].cast("string")), ",").alias("lines"))
+
+
 # ------------------------------------------------------------------- pages
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def page_default(spark, sf):
@@ -250,12 +260,28 @@ def readback_ordinal(spark, sf):
     return read_back(orders, keys, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", RN)
 
 
+@query("SELECT o_orderkey, o_orderstatus, -o_orderkey AS __rn FROM orders")
+def readback_ordinal_all(spark, sf):
+    """Every order, each with an ordinal of its own."""
+    orders = table(spark, sf, "orders")
+    keys = orders.select("o_orderkey", (-F.col("o_orderkey")).alias(RN))
+    return read_back(orders, keys, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", RN)
+
+
 @query("SELECT (x.rn)::BIGINT AS ordinality, x.k AS k, x.v AS v FROM (SELECT unnest([{rn: 0, k: 1, v: 'a'}, {rn: 1, k: 2, v: 'b'}]) AS x)")
 def json_recordset(spark, sf):
     df = spark.range(1).select(F.lit('[{"k":1,"v":"a"},{"k":2,"v":"b"}]').alias("j"))
     return recordset(df, "j", "k int, v string")
 
 
+@query("SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS ordinality, l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def json_recordset_all(spark, sf):
+    """All lines, read from one JSON array for each order."""
+    line = F.struct("l_linenumber", "l_returnflag", "l_orderkey")
+    df = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(line))).alias("j"))
+    return recordset(df, "j", "l_orderkey bigint, l_linenumber int, l_returnflag string")
+
+
 @query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_entries(spark, sf):
     df = table(spark, sf, "events").select("event_id", F.parse_json("props").alias("v"))
@@ -364,6 +390,15 @@ def nested_insert_keys(spark, sf):
     return lines.join(written, lines["__parent"] == written[RN]).select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "o_custkey")
 
 
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def nested_insert_keys_all(spark, sf):
+    """All orders are written, and all lines get the key that their order got."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias(RN), "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    written = upsert(spark.createDataFrame([], _SPEC_O.partial_struct()), orders, _SPEC_O, "error").rows
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("__parent"), "l_linenumber")
+    return lines.join(written, lines["__parent"] == written[RN]).select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "o_custkey")
+
+
 # ------------------------------------------------------------------ changes
 def _ts():
     return F.lit("2024-01-01 00:00:00").cast("timestamp")
