@@ -251,32 +251,27 @@ def test_repeats_of_random_cuts(spark):
     assert Counter((r.doc_id, r["__n_bytes"], r["__n_removed"], r["__n_spans"], bytes(r["__kept"])) for r in got) == brute_repeats(rows, 50)
 
 
-def test_repeats_of_regions_alike_in_half_of_their_bits(spark):
-    """Two texts that share an anchor and nothing else, and the upper 32 bits of their regions' identifiers."""
-    rng = np.random.default_rng(4)
-    letters = lambda *shape: rng.integers(97, 123, shape).astype(np.uint8)
-    anchors = lambda t: repeats.Anchors(t.ravel(), np.arange(len(t) + 1) * 50, 50)
-
-    def around(gram, n):
-        texts = letters(n, 50)
-        texts[:, 13:37] = gram
-        return texts
-
-    def share(gram):  # of texts in which the q-gram is the anchor
-        return np.unique(anchors(around(gram, 200)).h, return_counts=True)[1].max()
-
-    gram = max(letters(60, 24), key=share)
-    texts = around(gram, 300_000)
-    a = anchors(texts)
-    h, n = np.unique(a.h, return_counts=True)
-    chosen = np.flatnonzero(a.h == h[n.argmax()])
-    order = chosen[np.argsort(a.region[chosen] >> np.uint64(32), kind="stable")]
-    upper = a.region[order] >> np.uint64(32)
-    at = np.flatnonzero((upper[1:] == upper[:-1]) & (a.region[order][1:] != a.region[order][:-1]))
-    assert len(at)
-    rows = [(int(2 * k + j), texts[a.row[order[i + j]]].tobytes().decode(), "en", "s", 0) for k, i in enumerate(at) for j in range(2)]
-    got = repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+def test_repeats_told_apart_by_both_halves():
+    """Wholes that share their first 64 bits are different ones where the other 32 differ."""
+    z = np.zeros(3, np.int64)
+    e = repeats.Entries(np.array([3, 2, 1]), z, z, z, None, (np.full(3, 7, np.uint64), np.array([1, 1, 2], np.uint64) << np.uint64(32)))
+    ids, more, least, number = e.wholes()
+    assert ids.tolist() == [7, 7] and more.tolist() == [1, 2] and least.tolist() == [2, 1] and number.tolist() == [0, 0, 1]
+    raw = lambda m, d: repeats._planes(np.array([7], np.uint64)) + repeats._planes(np.array([m], np.uint32)) + repeats._planes(np.array([d]))
+    assert repeats._answers(repeats.WHOLE, [1, 1, 1], [raw(1, 5), raw(2, 9), raw(1, 4)]).tolist() == [True, False, False]
+    assert repeats._answers(repeats.CORE, [1, 1], [repeats._planes(np.array([v], np.uint64)) for v in (7, 8)]).tolist() == [False, False]
+
+
+def test_repeats_over_many_units_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "UNIT", 3000)
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(60)]
+    rows = [(int(i), " ".join(rng.choice(words[: 12 if i % 3 else 60], 80)), "en", "s", 0) for i in rng.permutation(200)]
+    monkeypatch.setattr(repeats, "PART", 5000)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
     assert Counter((r.doc_id, r["__n_bytes"], r["__n_removed"], r["__n_spans"], bytes(r["__kept"])) for r in got) == brute_repeats(rows, 50)
+    with pytest.raises(TypeError):
+        repeats.remove_repeats(spark.createDataFrame([("a", "t")], "doc_id string, text string"))
 
 
 def test_repeats_of_nothing(none):

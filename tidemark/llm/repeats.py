@@ -3,343 +3,388 @@
 Suffixes are refined only as far as the contract needs: until it is known
 whether a string of ``length`` bytes also starts in an earlier document.
 
-1. Initial buckets.  A suffix enters by its anchor: the least-hashed q-gram of
+1. Every place of a text has the identifier of its q-gram; two identifiers at
+   later offsets make that of a longer string, two of those that of a longer
+   one still (``Unit.window``, ``Unit.region``, ``Unit.core``).  No text is
+   compared again.
+2. Initial buckets.  A suffix enters by its anchor, the least-hashed q-gram of
    the window of ``length`` bytes that it starts with.  Equal windows have equal
-   anchors, so windows that share an anchor are handled as one region.  Anchors
-   whose bucket (28 bits of the q-gram's hash) is met in one document only are
-   settled; the buckets go through a table of fixed size.
-2. Refinement.  Within a q-gram's bucket, regions are sorted on the identifier
-   of the bytes at all later offsets they reach.  A region that an earlier
-   document has too is settled as a whole.
-3. Where a bucket holds different regions, those not settled are refined once
-   more, to the identifiers of single windows.  A region that an earlier document
-   has too is left out: its windows are settled, and the earlier one has them.
-
-Each task settles what its own documents settle before anything is shuffled,
-and sends a key on for its least document only.  So a passage of a third of
-all documents gives one row per task.  Reducers read sorted rows as a stream.
+   anchors, so the windows that share an anchor are one entry.
+3. Each level sorts the entries on two identifiers: the core, which all windows
+   of the entry hold, and the whole.  A core of one document only settles its
+   entry, which repeats nothing.  A whole that an earlier document has too
+   settles it as a repeat.  What is left is split, a narrower range of windows has a longer
+   core, and the sub-buckets go to the next level: whole anchors, groups of
+   windows, single windows.
+
+Documents are packed into units, rows of a written table.  A unit settles what
+its own documents settle, and sends each identifier once, with its least
+document, so a passage of a third of all documents gives one entry a unit.  Entries
+travel as sorted columns, cut into ``part`` by their first bits; a part's size
+does not depend on the corpus.  The answer to an entry is one bit.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.jaccard import _bit, bit_filter
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.text import byte_chunks, mix64, powers, prefix_hash, span_hash, text_or_empty
+from tidemark.llm.text import byte_chunks, mix64, powers, prefix_hash, text_or_empty
 
-BUCKET_BITS = 28
-SLICE_BITS = 18
-OPEN_BITS = 27
 NO_KEY = 2**63 - 1
-#: Bytes that are hashed together, and rows that a task settles together: both bound its memory.
-CHUNK, TOGETHER = 1 << 19, 1 << 20
+#: Bytes of text of a unit, bytes that are hashed together, and bytes of text whose entries make a part.
+UNIT, CHUNK, PART = 1 << 23, 1 << 19, 1 << 24
+CORE, WHOLE = 0, 1
+#: Cores go by their first 48 bits: a chance meeting only refines an entry in vain.
+CORE_BITS = np.uint64(16)
 #: Low bits of a window's key that hold the place; a text has fewer bytes than this.
 PLACE = np.uint64(31)
-_SPAN = "kind int, h long, g long, doc long, tag int, start int, span int"
-
-
-class Anchors:
-    """Anchors of a slice of texts: hash, region identifier, row, first window and region length."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
-        q = length // 2 - 1
-        self.offsets, self.length = offsets, length
-        n = len(data)
-        sizes = np.diff(offsets)
-        if n < length or not (sizes >= length).any():
-            self.h = self.region = np.zeros(0, np.uint64)
-            self.row = self.first = self.last = np.zeros(0, np.int64)
-            self.second = np.zeros(1, np.uint64)
-            return
-        prefix, self.second = prefix_hash(data), prefix_hash(data, True)
-        _, down = powers(n + 1)
-        grams = mix64((prefix[q:] - prefix[:-q]) * down[: n - q + 1])
-        low = grams >> PLACE << PLACE | np.arange(len(grams), dtype=np.uint64)
-        least, span, width = low, 1, length - q + 1
-        while span * 2 <= width:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < width:
-            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        edge = np.zeros(n + 1, np.int32)
-        long_enough = sizes >= length
-        np.add.at(edge, offsets[:-1][long_enough], 1)
-        np.add.at(edge, offsets[1:][long_enough] - length + 1, -1)
-        window = np.flatnonzero(np.cumsum(edge[:n]) > 0)
-        place = (least[window] & np.uint64((1 << 31) - 1)).astype(np.int64)
-        new = np.ones(len(window), bool)
-        new[1:] = (place[1:] != place[:-1]) | (np.diff(window) != 1)
-        at = np.flatnonzero(new)
-        self.first, self.last = window[at], window[np.append(at[1:], len(window)) - 1]
-        self.row = np.searchsorted(offsets, self.first, "right") - 1
-        self.h = grams[place[at]]
-        self.region = span_hash(self.second, self.first, self.last + length)
-
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(identifier, anchor, start) of every window of the chosen anchors."""
-        count = self.last[chosen] - self.first[chosen] + 1
-        anchor = np.repeat(chosen, count)
-        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.first[anchor]
-        return span_hash(self.second, start, start + self.length), anchor, start
-
-
-def _slices(batch, length):
-    """(doc, tag, anchors) by slices of a batch (doc, tag, text)."""
-    docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for lo, hi, data, offsets in byte_chunks(batch.column(2), CHUNK):
-        yield docs[lo:hi], tags[lo:hi], Anchors(data, offsets, length)
-
-
-def _shared_buckets(docs: DataFrame, length: int) -> np.ndarray:
-    """A bit per bucket: whether anchors of two documents are in it."""
-    def collect(batches):
-        held = []
-        for batch in batches:
-            for _, _, a in _slices(batch, length):
-                bucket = (a.h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                held.append((np.unique(a.row << BUCKET_BITS | bucket) & ((1 << BUCKET_BITS) - 1)).astype(np.uint32))
-        bucket, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_counts=True)
-        cuts = np.searchsorted(bucket, np.arange(0, (1 << BUCKET_BITS) + 1, 1 << SLICE_BITS))
-        full = np.flatnonzero(np.diff(cuts))
-        for lo in range(0, len(full), 256):
-            part = full[lo : lo + 256].tolist()
-            once = [bucket[cuts[k] : cuts[k + 1]][n[cuts[k] : cuts[k + 1]] == 1].tobytes() for k in part]
-            more = [bucket[cuts[k] : cuts[k + 1]][n[cuts[k] : cuts[k + 1]] > 1].tobytes() for k in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["slice", "once", "more"])
-
-    def merge(batches):
-        met: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        mask = np.uint32((1 << SLICE_BITS) - 1)
-        for batch in batches:
-            for k, once, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                seen, shared = met.setdefault(k, (np.zeros(1 << SLICE_BITS, bool), np.zeros(1 << SLICE_BITS, bool)))
-                at = np.frombuffer(once.as_buffer(), np.uint32) & mask
-                shared[at] |= seen[at]
-                seen[at] = True
-                at = np.frombuffer(more.as_buffer(), np.uint32) & mask
-                seen[at] = shared[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int32()), pa.array([np.packbits(s, bitorder="little").tobytes() for _, s in met.values()], pa.binary())], ["slice", "bits"])
-
-    slices = 1 << (BUCKET_BITS - SLICE_BITS)
-    found = (docs.mapInArrow(collect, "slice int, once binary, more binary").repartition(min(slices, 64), "slice")
-             .mapInArrow(merge, "slice int, bits binary").collect())
-    table = np.zeros((slices, 1 << (SLICE_BITS - 3)), np.uint8)
-    for k, raw in found:
-        table[k] = np.frombuffer(raw, np.uint8)
-    return table.ravel()
-
-
-def _short(x: np.ndarray) -> np.ndarray:
-    """32 bits that go beside a window's own 64; 96 bits tell windows apart.
-
-    Regions share h, their anchor's hash, so they have all 64 bits of their identifiers in g.
-    """
-    return x >> np.uint64(32)
-
-
-def _settle(h, g, doc, tag, start, span):
-    """Rows of a task as one Arrow batch: settled ones (kind 0), and those of each key's least document (kind 2)."""
-    order = np.lexsort((doc, g, h))
-    h, g, doc, tag, start, span = (x[order] for x in (h, g, doc, tag, start, span))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    least = doc[new][np.cumsum(new) - 1] if len(h) else doc
-    later = doc > least
-    doc0, tag0, start0, span0 = _merge(doc[later], tag[later], start[later], span[later])
-    kind = np.concatenate([np.zeros(len(doc0), np.int32), np.full(int((~later).sum()), 2, np.int32)])
-    zero = np.zeros(len(doc0), np.int64)
-    col = lambda a, b, t: pa.array(np.concatenate([a, b]).astype(t))
-    keep = ~later
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind), col(zero, h[keep].view(np.int64), np.int64), col(zero, g[keep].view(np.int64), np.int64), col(doc0, doc[keep], np.int64),
-         col(tag0, tag[keep], np.int32), col(start0, start[keep], np.int32), col(span0, span[keep], np.int32)],
-        ["kind", "h", "g", "doc", "tag", "start", "span"])
-
-
-def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Names of places in documents; places that share one by chance are only refined in vain."""
-    return mix64(mix64(doc.astype(np.int64).view(np.uint64)) + start.astype(np.int64).view(np.uint64)).view(np.int64)
-
-
-def _merge(doc, tag, start, span):
-    """Overlapping and touching spans of a document as one."""
-    if not len(doc):
-        return doc, tag, start, span
-    order = np.lexsort((start, tag, doc))
-    doc, tag, start, end = doc[order], tag[order], start[order].astype(np.int64), (start + span)[order].astype(np.int64)
-    same = np.zeros(len(doc), bool)
-    same[1:] = (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])
-    group = np.cumsum(~same)
-    shift = group * (1 << 32)  # so that a running maximum does not cross documents
-    reach = np.maximum.accumulate(end + shift)
-    new = np.ones(len(doc), bool)
-    new[1:] = (start + shift)[1:] > reach[:-1]
+LEVELS = 3
+_A, _B, _C = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xDB4F0B9175AE2165))
+_BLOCK = "part int, kind int, unit long, n int, body binary"
+_REPLY = "unit long, part int, kind int, n int, bits binary"
+
+
+def _join(one, two):
+    """The identifier of a string, in two independent halves, from those of its ends."""
+    return mix64(one[0] * _A + two[0]), mix64(one[1] * _B + two[1] + _C)
+
+
+def _anchors(grams: np.ndarray, offsets: np.ndarray, length: int, n: int):
+    """(place, first window, last window) of the anchors of a slice of ``n`` bytes."""
+    width = length - (length // 2 + 1) + 1
+    low = grams >> PLACE << PLACE | np.arange(len(grams), dtype=np.uint64)
+    least, span = low, 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    edge = np.zeros(n + 1, np.int32)
+    long_enough = np.diff(offsets) >= length
+    np.add.at(edge, offsets[:-1][long_enough], 1)
+    np.add.at(edge, offsets[1:][long_enough] - length + 1, -1)
+    window = np.flatnonzero(np.cumsum(edge[:n]) > 0)
+    place = (least[window] & np.uint64((1 << 31) - 1)).astype(np.int64)
+    new = np.ones(len(window), bool)
+    new[1:] = (place[1:] != place[:-1]) | (np.diff(window) != 1)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    return doc[at], tag[at], start[at], (reach[last] - shift[last]) - start[at]
+    return place[at], window[at], window[np.append(at[1:], len(window)) - 1]
 
 
-def _regions(docs: DataFrame, length: int, table) -> DataFrame:
-    def run(batches):
-        bits, held = table.value, []
-        for batch in batches:
-            for doc, tag, a in _slices(batch, length):
-                on = np.flatnonzero(_bit((a.h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), bits))
-                row = a.row[on]
-                held.append((a.h[on], a.region[on], doc[row], tag[row], a.first[on] - a.offsets[row], a.last[on] - a.first[on] + length))
-                if sum(len(x[0]) for x in held) > TOGETHER:
-                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held.clear()
-        if held:
-            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+class Entries:
+    """Ranges of windows that share an anchor, with their documents and identifiers."""
+
+    def __init__(self, doc, place, first, last, core, whole):
+        self.doc, self.place, self.first, self.last = doc, place, first, last
+        self.core = core >> CORE_BITS << CORE_BITS if core is not None else None
+        self.whole, self.more = whole[0], (whole[1] >> np.uint64(32)).astype(np.uint32)
+
+    def cores(self):
+        """(distinct cores, number of each entry's core, whether documents of this unit share it)."""
+        order = np.argsort(self.core, kind="stable")
+        core, doc = self.core[order], self.doc[order]
+        new = np.ones(len(core), bool)
+        new[1:] = core[1:] != core[:-1]
+        at = np.flatnonzero(new)
+        number = np.empty(len(core), np.int64)
+        number[order] = np.cumsum(new) - 1
+        shared = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+        return core[at], number, shared
+
+    def wholes(self):
+        """(ids, ids' other half, least documents) of the distinct wholes, and the number of each entry's."""
+        order = np.lexsort((self.doc, self.more, self.whole))
+        whole, more = self.whole[order], self.more[order]
+        new = np.ones(len(whole), bool)
+        new[1:] = (whole[1:] != whole[:-1]) | (more[1:] != more[:-1])
+        number = np.empty(len(whole), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return whole[new], more[new], self.doc[order][new], number
+
+
+class Unit:
+    """The texts of one unit: identifiers of all their q-grams, and what is known of their windows."""
+
+    def __init__(self, texts: pa.Array, docs: np.ndarray, length: int):
+        self.length, self.q = length, length // 2 + 1
+        self.width = length - self.q + 1
+        self.group = max(1, math.isqrt(self.width))
+        self.offsets = np.zeros(len(texts) + 1, np.int64)
+        self.docs, chunks, at = docs, list(byte_chunks(texts, CHUNK)), 0
+        self.grams = np.zeros(sum(len(data) for *_, data, _ in chunks), np.uint64)
+        self.data = np.zeros(len(self.grams), np.uint8)
+        found = []
+        for lo, hi, data, offsets in chunks:
+            n = len(data)
+            self.data[at : at + n] = data
+            self.offsets[lo + 1 : hi + 1] = offsets[1:] + at
+            if n >= length and (np.diff(offsets) >= length).any():
+                prefix = prefix_hash(data)
+                _, down = powers(n + 1)
+                grams = mix64((prefix[self.q :] - prefix[: -self.q]) * down[: n - self.q + 1])
+                self.grams[at : at + len(grams)] = grams
+                found.append(tuple(x + at for x in _anchors(grams, offsets, length, n)))
+            at += n
+        self.place, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        self.removed: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _pair(self, start, size: int):
+        """The identifier of a string of ``size`` bytes, from the q-grams at its start and at its end."""
+        one, two = self.grams[start], self.grams[start + size - self.q]
+        return _join((one, one), (two, two))
+
+    def window(self, start):
+        return self._pair(start, self.length)
+
+    def region(self, first, last):
+        """The identifier of the bytes of overlapping windows."""
+        return _join(self.window(first), self.window(last))
+
+    def core(self, start, number):
+        """The bytes that all windows of one group hold, and the group's number."""
+        return mix64(self._pair(start, self.length - self.group + 1)[0] + number.astype(np.uint64) * _C)
+
+    def _doc(self, start):
+        return self.docs[np.searchsorted(self.offsets, start, "right") - 1]
+
+    def entries(self, level: int, place, first, last) -> Entries:
+        """The entries of a level from the ranges that are left."""
+        if level == 0:
+            return Entries(self._doc(first), place, first, last, self.grams[place], self.region(first, last))
+        if level == 1:
+            lo, hi = (place - last) // self.group, (place - first) // self.group
+            count = hi - lo + 1
+            owner = np.repeat(np.arange(len(place)), count)
+            number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[owner]
+            place = place[owner]
+            low = np.maximum(first[owner], place - (number + 1) * self.group + 1)
+            high = np.minimum(last[owner], place - number * self.group)
+            return Entries(self._doc(low), place, low, high, self.core(place - number * self.group, number), self.region(low, high))
+        count = last - first + 1
+        owner = np.repeat(np.arange(len(place)), count)
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+        return Entries(self._doc(start), place[owner], start, start, None, self.window(start))
+
+    def settle(self, entries: Entries, bits: dict[int, np.ndarray]):
+        """The ranges that a level leaves, given its answers; what it settles as repeats is noted."""
+        _, _, least, number = entries.wholes()
+        repeats = bits[WHOLE][number] | (entries.doc > least[number])
+        self.removed.append((entries.first[repeats], entries.last[repeats]))
+        left = ~repeats
+        if entries.core is not None:
+            _, number, shared = entries.cores()
+            left &= bits[CORE][number] | shared[number]
+        return entries.place[left], entries.first[left], entries.last[left]
+
+    def replay(self, level: int, replies: dict[int, dict[int, np.ndarray]]) -> Entries | None:
+        """The entries of ``level``, after the answers to all levels before; None after the last one."""
+        ranges = self.place, self.first, self.last
+        for k in range(level):
+            ranges = self.settle(self.entries(k, *ranges), replies[k])
+        return self.entries(level, *ranges) if level < LEVELS else None
+
+    def cut(self):
+        """(bytes, bytes removed, runs, kept bytes' offsets, kept bytes) of all texts."""
+        n = len(self.data)
+        edge = np.zeros(n + 1, np.int32)
+        for first, last in self.removed:
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + self.length, -1)
+        gone = np.cumsum(edge[:n]) > 0
+        start = gone.copy()
+        start[1:] &= ~gone[:-1]
+        borders = self.offsets[1:-1]
+        borders = borders[(borders > 0) & (borders < n)]
+        start[borders] |= gone[borders]
+        upto = lambda flags: np.append(0, np.cumsum(flags))[self.offsets]
+        removed = upto(gone)
+        return np.diff(self.offsets), np.diff(removed), np.diff(upto(start)), self.offsets - removed, self.data[~gone]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, first all lowest bytes: bytes that are alike lie together and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(raw, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T.copy().view(kind).ravel()
+
 
-    return docs.mapInArrow(run, _SPAN)
+def _part_of(ids: np.ndarray, part_bits: int) -> np.ndarray:
+    return (ids >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(ids), np.int64)
 
 
-def _windows(docs: DataFrame, length: int, table) -> DataFrame:
+def _blocks(kind: int, part_bits: int, ids: np.ndarray, *more: np.ndarray):
+    """(part, kind, n, body) for the parts of sorted identifiers."""
+    part = _part_of(ids, part_bits)
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(ids) else np.zeros(0, np.int64)
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=False):
+        steps = np.diff(ids[lo:hi], prepend=np.uint64(0))
+        yield int(part[lo]), kind, hi - lo, _planes(steps) + b"".join(_planes(x[lo:hi]) for x in more)
+
+
+def _pack(docs: DataFrame, text: str) -> DataFrame:
+    """(unit, n_bytes, payload): rows of ``docs`` as Arrow streams of about ``UNIT`` bytes of text."""
+    where = docs.columns.index(text)
+
     def run(batches):
-        bits, held = table.value, []
+        unit, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                              ["unit", "n_bytes", "payload"])
+
         for batch in batches:
-            for doc, tag, a in _slices(batch, length):
-                slot = _place(doc[a.row], a.first - a.offsets[a.row]) % (1 << OPEN_BITS)
-                name, anchor, start = a.windows(np.flatnonzero(_bit(slot, bits)))
-                row = a.row[anchor]
-                held.append((name, _short(a.h[anchor]), doc[row], tag[row], start - a.offsets[row], np.full(len(row), length)))
-                if sum(len(x[0]) for x in held) > TOGETHER:
-                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held.clear()
+            for lo, hi, data, _ in byte_chunks(batch.column(where), CHUNK):
+                if held and size + len(data) > UNIT:
+                    yield flush()
+                    unit, held, size = unit + 1, [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += len(data)
         if held:
-            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield flush()
 
-    return docs.mapInArrow(run, _SPAN)
+    return docs.mapInArrow(run, "unit long, n_bytes long, payload binary")
 
 
-def _refine(rows: DataFrame) -> DataFrame:
-    """Settle across tasks.  Kind 0: a settled span.  Kind 1: the place (as h) of a region left to refine.
+def _open(batches, where: int, length: int):
+    """(number, rows, Unit, answers by level and kind) of every unit of (unit, payload, replies)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            with pa.ipc.open_stream(batch.column(1)[i].as_buffer()) as stream:
+                rows = stream.read_all().combine_chunks()
+            answers: dict[int, dict[int, list]] = {k: {CORE: [], WHOLE: []} for k in range(LEVELS)}
+            for r in batch.column(2)[i].as_py() or []:
+                bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"], bitorder="little")
+                answers[r["level"]][r["kind"]].append((r["part"], bits.astype(bool)))
+            replies = {k: {kind: np.concatenate([np.zeros(0, bool), *(b for _, b in sorted(x, key=lambda y: y[0]))]) for kind, x in kinds.items()}
+                       for k, kinds in answers.items()}
+            order = rows.column(rows.num_columns - 1).to_numpy()
+            yield batch.column(0)[i].as_py(), rows, Unit(rows.column(where), order, length), replies
 
-    Regions are left where two documents have different ones under one h and neither is settled.
-    """
-    spread = F.when(F.col("kind") == 0, F.xxhash64("doc", "start")).otherwise(F.col("h"))
-    ordered = rows.repartition(spread).sortWithinPartitions("kind", "h", "g", "doc")
+
+def _ask(units: DataFrame, where: int, length: int, level: int, part_bits: int) -> DataFrame:
+    """The entries of a level, as blocks of sorted identifiers."""
+    def run(batches):
+        for number, _, unit, replies in _open(batches, where, length):
+            entries = unit.replay(level, replies)
+            del unit
+            ids, more, least, _ = entries.wholes()
+            rows = [_blocks(WHOLE, part_bits, ids, more, least)]
+            if entries.core is not None:
+                rows.append(_blocks(CORE, part_bits, entries.cores()[0]))
+            rows = [row for blocks in rows for row in blocks]
+            part, kind, n, body = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array([number] * len(part), pa.int64()),
+                                              pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["part", "kind", "unit", "n", "body"])
+
+    return units.mapInArrow(run, _BLOCK)
+
+
+def _answers(kind: int, sizes: list[int], bodies: list) -> np.ndarray:
+    """A flag per entry of the blocks of one part: shared core, or whole of an earlier document."""
+    ids = np.concatenate([np.cumsum(_numbers(b, np.uint64, n), dtype=np.uint64) for n, b in zip(sizes, bodies, strict=True)])
+    flags = np.zeros(len(ids), bool)
+    if kind == CORE:
+        order = np.argsort(ids, kind="stable")
+        same = ids[order][1:] == ids[order][:-1]
+        flags[order[1:][same]] = flags[order[:-1][same]] = True
+        return flags
+    more = np.concatenate([_numbers(b[8 * n :], np.uint32, n) for n, b in zip(sizes, bodies, strict=True)])
+    doc = np.concatenate([_numbers(b[12 * n :], np.int64, n) for n, b in zip(sizes, bodies, strict=True)])
+    order = np.lexsort((doc, more, ids))
+    ids, more, sorted_doc = ids[order], more[order], doc[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (more[1:] != more[:-1])
+    flags[order] = sorted_doc > sorted_doc[new][np.cumsum(new) - 1]
+    return flags
+
+
+def _sort_out(blocks: DataFrame) -> DataFrame:
+    """Sort each part's entries of all units and answer them, a bit each."""
+    def answer(part, kind, rows):
+        units, sizes, bodies = zip(*rows, strict=True)
+        flags = np.split(_answers(kind, list(sizes), list(bodies)), np.cumsum(sizes)[:-1])
+        bits = [np.packbits(f, bitorder="little").tobytes() for f in flags]
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array([part] * len(units), pa.int32()), pa.array([kind] * len(units), pa.int32()),
+                                           pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["unit", "part", "kind", "n", "bits"])
 
     def run(batches):
-        last = None  # (h, g, least doc of both, least and greatest of these over h)
-        held = []  # places under the last h as long as one document has them all
+        held, rows = None, []
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            done = np.flatnonzero(kind == 0)
-            if len(done):
-                yield batch.take(pa.array(done))
-            batch = batch.slice(len(done))
-            if not batch.num_rows:
-                continue
-            h, g, doc = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            region = np.cumsum(new) - 1
-            least = doc[new]
-            if last and (h[0], g[0]) == last[:2]:
-                least[0] = last[2]
-            settled = doc > least[region]
-            heads = np.flatnonzero(new)
-            new_h = np.ones(len(heads), bool)
-            new_h[1:] = h[heads][1:] != h[heads][:-1]
-            at = np.flatnonzero(new_h)
-            lo, hi = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
-            if last and h[0] == last[0]:
-                lo[0], hi[0] = min(lo[0], last[3]), max(hi[0], last[4])
-            else:
-                held = []
-            last = (h[-1], g[-1], least[-1], lo[-1], hi[-1])
-            on = np.flatnonzero(settled)
-            if len(on):
-                part = batch.take(pa.array(on))
-                yield part.set_column(0, "kind", pa.array(np.zeros(len(on), np.int32)))
-            bucket = (np.cumsum(new_h) - 1)[region]
-            differs = lo < hi
-            place = _place(doc, batch.column(5).to_numpy())
-            left = [place[~settled & differs[bucket]]]
-            if differs[0]:
-                left, held = left + held, []
-            if len(at) > 1:
-                held = []
-            if not differs[-1]:
-                held.append(place[~settled & (bucket == len(at) - 1)])
-            left = np.concatenate(left)
-            if len(left):
-                yield _open(left)
-
-    return ordered.mapInArrow(run, _SPAN)
-
-
-def _open(names: np.ndarray) -> pa.RecordBatch:
-    zero = pa.array(np.zeros(len(names), np.int64))
-    small = zero.cast(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(names), np.int32)), pa.array(names), zero, zero, small, small, small],
-                                      ["kind", "h", "g", "doc", "tag", "start", "span"])
+            parts, kinds, units, sizes = (batch.column(i).to_pylist() for i in range(4))
+            for i, key in enumerate(zip(parts, kinds, strict=True)):
+                if key != held and rows:
+                    yield answer(*held, rows)
+                    rows = []
+                held = key
+                rows.append((units[i], sizes[i], batch.column(4)[i].as_py()))
+        if rows:
+            yield answer(*held, rows)
+
+    return blocks.repartition("part", "kind").sortWithinPartitions("part", "kind").mapInArrow(run, _REPLY)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Cut every byte covered by a ``length``-byte string that also starts in an earlier document.
 
     Adds ``__n_bytes``, ``__n_removed``, ``__n_spans`` and ``__kept`` (binary)
-    to the columns of ``docs``.  Earlier means a smaller key; rows of equal key
+    to the columns of ``docs``.  Earlier means a smaller key, a whole number; rows of equal key
     do not cut one another, and null keys come last and do not either.  Null
     and empty texts and those under ``length`` bytes lose nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    # A tag tells rows apart that share a key; where none do, it is 0 and costs nothing.
-    repeated = bool(docs.groupBy(doc.alias("doc")).count().where("count > 1").head(1))
-    tag = F.hash(text_or_empty(text)) if repeated else F.lit(0)
-    narrow = docs.select(doc.alias("doc"), tag.alias("tag"), text_or_empty(text).alias("text"))
-    table = spark.sparkContext.broadcast(_shared_buckets(narrow, length))
-    found = scratch.table(_refine(_regions(narrow, length, table)), "regions", ("kind",))
-    left = spark.sparkContext.broadcast(bit_filter(found.where("kind = 1"), "h", OPEN_BITS))
-    single = scratch.table(_refine(_windows(narrow, length, left)).where("kind = 0"), "windows")
+    names, where = docs.columns, docs.columns.index(text)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"the key {key} orders documents and must be a whole number")
+    order = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+    units = scratch.table(_pack(docs.select(*names, order.alias("__order")), text), "units",
+                          **{"parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 25)})
+    total = units.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    part_bits = max(0, math.ceil(math.log2(max(1, total) / PART)))
+    replies = spark.createDataFrame([], f"level int, {_REPLY}")
+
+    def informed() -> DataFrame:
+        told = replies.groupBy("unit").agg(F.collect_list(F.struct("level", "part", "kind", "n", "bits")).alias("replies"))
+        return units.select("unit", "payload").join(told.hint("shuffle_hash"), "unit", "left").select("unit", "payload", "replies")
+
+    for level in range(LEVELS):
+        asked = informed() if level else units.select("unit", "payload", F.lit(None).cast("array<struct<level:int,part:int,kind:int,n:int,bits:binary>>").alias("replies"))
+        answered = scratch.table(_sort_out(_ask(asked, where, length, level, part_bits)), f"level{level}")
+        replies = replies.unionByName(answered.withColumn("level", F.lit(level)))
     scratch.release()
-    spans = (found.where("kind = 0").select("doc", "tag", "start", "span").unionByName(single.select("doc", "tag", "start", "span"))
-             .groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "span")).alias("__spans"))
-             .withColumnsRenamed({"doc": "__doc", "tag": "__tag"}))
-    joined = docs.withColumns({"__doc": doc, "__tag": tag}).join(spans, ["__doc", "__tag"], "left").drop("__doc", "__tag")
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__n_bytes long, __n_removed long, __n_spans long, __kept binary").fields])
-    where = docs.columns.index(text)
 
     def cut(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            sizes, removed, runs, kept = [], [], [], []
-            for value, spans in zip(batch.column(where), batch.column(len(docs_columns)), strict=True):
-                raw = (value.as_py() or "").encode()
-                gone = 0
-                start = end = np.zeros(0, np.int64)
-                out = raw
-                if spans.is_valid:
-                    flat = spans.values.flatten()
-                    start, span = flat[0].to_numpy().astype(np.int64), flat[1].to_numpy().astype(np.int64)
-                    zero = np.zeros(len(start), np.int64)
-                    _, _, start, span = _merge(zero, zero, start, span)
-                    end = start + span
-                    gone = int(span.sum())
-                    out = b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True))
-                sizes.append(len(raw))
-                removed.append(gone)
-                runs.append(len(start))
-                kept.append(out)
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[: len(docs_columns)], list(arrow), strict=False)), pa.array(sizes, pa.int64()),
-                                              pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], schema=arrow)
-
-    docs_columns = docs.columns
-    return joined.select(*docs_columns, "__spans").mapInArrow(cut, schema)
+        for _, rows, unit, answers in _open(batches, where, length):
+            unit.replay(LEVELS, answers)
+            n_bytes, removed, runs, offsets, kept = unit.cut()
+            del unit
+            # Long texts make large batches, so the rows go in slices.
+            for lo, hi, *_ in byte_chunks(rows.column(where), 1 << 22):
+                own = offsets[lo : hi + 1] - offsets[lo]
+                column = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(own.astype(np.int32)), pa.py_buffer(kept[offsets[lo] : offsets[hi]])])
+                part = rows.slice(lo, hi - lo).combine_chunks()
+                given = [c.combine_chunks().cast(f.type) for c, f in zip(part.columns[: len(names)], list(arrow), strict=False)]
+                yield pa.RecordBatch.from_arrays([*given, *(pa.array(x[lo:hi]) for x in (n_bytes, removed, runs)), column], schema=arrow)
+
+    return informed().mapInArrow(cut, schema)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,5 +392,3 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select(
         "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),
         F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
-
-

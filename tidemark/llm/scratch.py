@@ -41,11 +41,11 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write ``df`` and read it back with the schema that was written."""
+    def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
+        """Write ``df`` and read it back with the schema that was written; ``options`` go to the writer."""
         self.release()
         path = self.path(name)
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", "zstd").options(**options)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         # The written table replaces the shuffles that made it, so these can go at once.
