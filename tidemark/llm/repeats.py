@@ -41,8 +41,8 @@ from tidemark.llm.text import byte_chunks, mix64, powers, prefix_hash, text_or_e
 
 NO_KEY = 2**63 - 1
 #: Bytes of text of a unit, bytes that are hashed together, and bytes of text whose entries make a part.
-UNIT, CHUNK, PART = 1 << 23, 1 << 19, 1 << 24
-CORE, WHOLE = 0, 1
+UNIT, CHUNK, PART = 1 << 22, 1 << 19, 1 << 24
+CORE, WHOLE, STATE = 0, 1, 2
 #: Cores go by their first 48 bits: a chance meeting only refines an entry in vain.
 CORE_BITS = np.uint64(16)
 #: Low bits of a window's key that hold the place; a text has fewer bytes than this.
@@ -68,11 +68,11 @@ def _anchors(grams: np.ndarray, offsets: np.ndarray, length: int, n: int):
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    edge = np.zeros(n + 1, np.int32)
+    inside = np.zeros(n + 1, np.int8)
     long_enough = np.diff(offsets) >= length
-    np.add.at(edge, offsets[:-1][long_enough], 1)
-    np.add.at(edge, offsets[1:][long_enough] - length + 1, -1)
-    window = np.flatnonzero(np.cumsum(edge[:n]) > 0)
+    np.add.at(inside, offsets[:-1][long_enough], 1)
+    np.add.at(inside, offsets[1:][long_enough] - length + 1, -1)
+    window = np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8))
     place = (least[window] & np.uint64((1 << 31) - 1)).astype(np.int64)
     new = np.ones(len(window), bool)
     new[1:] = (place[1:] != place[:-1]) | (np.diff(window) != 1)
@@ -90,10 +90,9 @@ class Entries:
 
     def cores(self):
         """(distinct cores, number of each entry's core, whether documents of this unit share it)."""
-        order = np.argsort(self.core, kind="stable")
+        order = np.argsort(self.core)
         core, doc = self.core[order], self.doc[order]
-        new = np.ones(len(core), bool)
-        new[1:] = core[1:] != core[:-1]
+        new = np.append(True, core[1:] != core[:-1])[: len(core)]
         at = np.flatnonzero(new)
         number = np.empty(len(core), np.int64)
         number[order] = np.cumsum(new) - 1
@@ -102,19 +101,33 @@ class Entries:
 
     def wholes(self):
         """(ids, ids' other half, least documents) of the distinct wholes, and the number of each entry's."""
-        order = np.lexsort((self.doc, self.more, self.whole))
-        whole, more = self.whole[order], self.more[order]
-        new = np.ones(len(whole), bool)
-        new[1:] = (whole[1:] != whole[:-1]) | (more[1:] != more[:-1])
-        number = np.empty(len(whole), np.int64)
+        order, new, least = _grouped(self.whole, self.more, self.doc)
+        number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        return whole[new], more[new], self.doc[order][new], number
+        return self.whole[order][new], self.more[order][new], least, number
+
+
+def _grouped(ids: np.ndarray, more: np.ndarray, doc: np.ndarray):
+    """(order by identifier, which places of it are the first of their identifier, least document of each)."""
+    order = np.argsort(ids)
+    one, two = ids[order], more[order]
+    same = one[1:] == one[:-1]
+    if (two[1:][same] != two[:-1][same]).any():  # the first halves agree by chance
+        order = np.lexsort((more, ids))
+        one, two = ids[order], more[order]
+        same = one[1:] == one[:-1]
+    new = np.append(True, ~same | (two[1:] != two[:-1]))[: len(order)]
+    return order, new, np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc
 
 
 class Unit:
-    """The texts of one unit: identifiers of all their q-grams, and what is known of their windows."""
+    """The texts of one unit: identifiers of all their q-grams, and what is known of their windows.
+
+    ``ranges`` (place of the anchor, first and last window) are the entries that are not settled yet, and ``removed``
+    the windows settled as repeats; both start from the anchors, or from the ``state`` that a level before left.
+    """
 
-    def __init__(self, texts: pa.Array, docs: np.ndarray, length: int):
+    def __init__(self, texts: pa.Array, docs: np.ndarray, length: int, state: bytes | None = None):
         self.length, self.q = length, length // 2 + 1
         self.width = length - self.q + 1
         self.group = max(1, math.isqrt(self.width))
@@ -132,10 +145,14 @@ class Unit:
                 _, down = powers(n + 1)
                 grams = mix64((prefix[self.q :] - prefix[: -self.q]) * down[: n - self.q + 1])
                 self.grams[at : at + len(grams)] = grams
-                found.append(tuple(x + at for x in _anchors(grams, offsets, length, n)))
+                if state is None:
+                    found.append(tuple(x + at for x in _anchors(grams, offsets, length, n)))
             at += n
-        self.place, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        self.removed: list[tuple[np.ndarray, np.ndarray]] = []
+        none = (np.zeros(0, np.int64),) * 3
+        self.ranges = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+        self.removed = none[:2]
+        if state is not None:
+            self._restore(state)
 
     def _pair(self, start, size: int):
         """The identifier of a string of ``size`` bytes, from the q-grams at its start and at its end."""
@@ -156,8 +173,25 @@ class Unit:
     def _doc(self, start):
         return self.docs[np.searchsorted(self.offsets, start, "right") - 1]
 
-    def entries(self, level: int, place, first, last) -> Entries:
+    def state(self) -> bytes:
+        """What is known so far: removed windows as runs, and the ranges left, as differences."""
+        first, last = self.removed
+        place, low, high = self.ranges
+        order = np.argsort(first)
+        numbers = np.concatenate([[len(first), len(place)], np.diff(first[order], prepend=0), (last - first)[order], np.diff(place, prepend=0), place - low, place - high])
+        return _planes(numbers)
+
+    def _restore(self, state: bytes) -> None:
+        numbers = _numbers(state, np.int64, len(state) // 8)
+        n, m = numbers[:2]
+        cuts = np.cumsum([2, n, n, m, m])
+        first, size, place, low, high = np.split(numbers, cuts)[1:]
+        first, place = np.cumsum(first), np.cumsum(place)
+        self.removed, self.ranges = (first, first + size), (place, place - low, place - high)
+
+    def entries(self, level: int) -> Entries:
         """The entries of a level from the ranges that are left."""
+        place, first, last = self.ranges
         if level == 0:
             return Entries(self._doc(first), place, first, last, self.grams[place], self.region(first, last))
         if level == 1:
@@ -174,38 +208,34 @@ class Unit:
         start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[owner]
         return Entries(self._doc(start), place[owner], start, start, None, self.window(start))
 
-    def settle(self, entries: Entries, bits: dict[int, np.ndarray]):
-        """The ranges that a level leaves, given its answers; what it settles as repeats is noted."""
+    def settle(self, level: int, bits: dict[int, np.ndarray]) -> None:
+        """Keep the ranges that a level leaves, given its answers, and note what it settles as repeats."""
+        entries = self.entries(level)
         _, _, least, number = entries.wholes()
         repeats = bits[WHOLE][number] | (entries.doc > least[number])
-        self.removed.append((entries.first[repeats], entries.last[repeats]))
+        self.removed = tuple(np.append(x, y[repeats]) for x, y in zip(self.removed, (entries.first, entries.last), strict=True))
         left = ~repeats
         if entries.core is not None:
             _, number, shared = entries.cores()
             left &= bits[CORE][number] | shared[number]
-        return entries.place[left], entries.first[left], entries.last[left]
-
-    def replay(self, level: int, replies: dict[int, dict[int, np.ndarray]]) -> Entries | None:
-        """The entries of ``level``, after the answers to all levels before; None after the last one."""
-        ranges = self.place, self.first, self.last
-        for k in range(level):
-            ranges = self.settle(self.entries(k, *ranges), replies[k])
-        return self.entries(level, *ranges) if level < LEVELS else None
+        self.ranges = entries.place[left], entries.first[left], entries.last[left]
 
     def cut(self):
         """(bytes, bytes removed, runs, kept bytes' offsets, kept bytes) of all texts."""
+        self.grams = None  # the largest part of a unit, and not needed any more
         n = len(self.data)
         edge = np.zeros(n + 1, np.int32)
-        for first, last in self.removed:
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + self.length, -1)
-        gone = np.cumsum(edge[:n]) > 0
+        first, last = self.removed
+        np.add.at(edge, first, 1)
+        np.add.at(edge, last + self.length, -1)
+        gone = np.cumsum(edge[:n], dtype=np.int32) > 0
         start = gone.copy()
         start[1:] &= ~gone[:-1]
         borders = self.offsets[1:-1]
         borders = borders[(borders > 0) & (borders < n)]
         start[borders] |= gone[borders]
-        upto = lambda flags: np.append(0, np.cumsum(flags))[self.offsets]
+        # Places of bytes that go, and of those that start a run, are counted text by text.
+        upto = lambda flags: np.searchsorted(np.flatnonzero(flags), self.offsets)
         removed = upto(gone)
         return np.diff(self.offsets), np.diff(removed), np.diff(upto(start)), self.offsets - removed, self.data[~gone]
 
@@ -262,32 +292,32 @@ def _pack(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _open(batches, where: int, length: int):
-    """(number, rows, Unit, answers by level and kind) of every unit of (unit, payload, replies)."""
+    """(number, rows, Unit, answers of the last level by kind) of every unit of (unit, payload, state, replies)."""
     for batch in batches:
         for i in range(batch.num_rows):
             with pa.ipc.open_stream(batch.column(1)[i].as_buffer()) as stream:
                 rows = stream.read_all().combine_chunks()
-            answers: dict[int, dict[int, list]] = {k: {CORE: [], WHOLE: []} for k in range(LEVELS)}
-            for r in batch.column(2)[i].as_py() or []:
-                bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"], bitorder="little")
-                answers[r["level"]][r["kind"]].append((r["part"], bits.astype(bool)))
-            replies = {k: {kind: np.concatenate([np.zeros(0, bool), *(b for _, b in sorted(x, key=lambda y: y[0]))]) for kind, x in kinds.items()}
-                       for k, kinds in answers.items()}
+            answers: dict[int, list] = {CORE: [], WHOLE: []}
+            for r in sorted(batch.column(3)[i].as_py() or [], key=lambda r: r["part"]):
+                answers[r["kind"]].append(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"], bitorder="little").astype(bool))
+            replies = {kind: np.concatenate([np.zeros(0, bool), *x]) for kind, x in answers.items()}
             order = rows.column(rows.num_columns - 1).to_numpy()
-            yield batch.column(0)[i].as_py(), rows, Unit(rows.column(where), order, length), replies
+            yield batch.column(0)[i].as_py(), rows, Unit(rows.column(where), order, length, batch.column(2)[i].as_py()), replies
 
 
 def _ask(units: DataFrame, where: int, length: int, level: int, part_bits: int) -> DataFrame:
-    """The entries of a level, as blocks of sorted identifiers."""
+    """The entries of a level, as blocks of sorted identifiers, and from the second level on the units' states."""
     def run(batches):
         for number, _, unit, replies in _open(batches, where, length):
-            entries = unit.replay(level, replies)
-            del unit
+            if level:
+                unit.settle(level - 1, replies)
+            entries = unit.entries(level)
             ids, more, least, _ = entries.wholes()
-            rows = [_blocks(WHOLE, part_bits, ids, more, least)]
+            rows = list(_blocks(WHOLE, part_bits, ids, more, least))
             if entries.core is not None:
-                rows.append(_blocks(CORE, part_bits, entries.cores()[0]))
-            rows = [row for blocks in rows for row in blocks]
+                rows += _blocks(CORE, part_bits, entries.cores()[0])
+            if level:
+                rows.append((0, STATE, 0, unit.state()))
             part, kind, n, body = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array([number] * len(part), pa.int64()),
                                               pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["part", "kind", "unit", "n", "body"])
@@ -300,17 +330,14 @@ def _answers(kind: int, sizes: list[int], bodies: list) -> np.ndarray:
     ids = np.concatenate([np.cumsum(_numbers(b, np.uint64, n), dtype=np.uint64) for n, b in zip(sizes, bodies, strict=True)])
     flags = np.zeros(len(ids), bool)
     if kind == CORE:
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         same = ids[order][1:] == ids[order][:-1]
         flags[order[1:][same]] = flags[order[:-1][same]] = True
         return flags
     more = np.concatenate([_numbers(b[8 * n :], np.uint32, n) for n, b in zip(sizes, bodies, strict=True)])
     doc = np.concatenate([_numbers(b[12 * n :], np.int64, n) for n, b in zip(sizes, bodies, strict=True)])
-    order = np.lexsort((doc, more, ids))
-    ids, more, sorted_doc = ids[order], more[order], doc[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (more[1:] != more[:-1])
-    flags[order] = sorted_doc > sorted_doc[new][np.cumsum(new) - 1]
+    order, new, least = _grouped(ids, more, doc)
+    flags[order] = doc[order] > least[np.cumsum(new) - 1]
     return flags
 
 
@@ -336,7 +363,7 @@ def _sort_out(blocks: DataFrame) -> DataFrame:
         if rows:
             yield answer(*held, rows)
 
-    return blocks.repartition("part", "kind").sortWithinPartitions("part", "kind").mapInArrow(run, _REPLY)
+    return blocks.select("part", "kind", "unit", "n", "body").repartition("part", "kind").sortWithinPartitions("part", "kind").mapInArrow(run, _REPLY)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,23 +384,33 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                           **{"parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 25)})
     total = units.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     part_bits = max(0, math.ceil(math.log2(max(1, total) / PART)))
-    replies = spark.createDataFrame([], f"level int, {_REPLY}")
+    state, replies = None, None
 
     def informed() -> DataFrame:
-        told = replies.groupBy("unit").agg(F.collect_list(F.struct("level", "part", "kind", "n", "bits")).alias("replies"))
-        return units.select("unit", "payload").join(told.hint("shuffle_hash"), "unit", "left").select("unit", "payload", "replies")
+        """Units with what the level before knows of them."""
+        if replies is None:
+            return units.select("unit", "payload", F.lit(None).cast("binary").alias("state"), F.lit(None).cast(f"array<struct<{_REPLY}>>").alias("replies"))
+        told = replies.groupBy("unit").agg(F.collect_list(F.struct("part", "kind", "n", "bits")).alias("replies"))
+        if state is not None:
+            told = told.join(state, "unit", "full")
+        told = told.select("unit", state["state"] if state is not None else F.lit(None).cast("binary").alias("state"), "replies")
+        return units.select("unit", "payload").join(told.hint("shuffle_hash"), "unit", "left").select("unit", "payload", "state", "replies")
 
     for level in range(LEVELS):
-        asked = informed() if level else units.select("unit", "payload", F.lit(None).cast("array<struct<level:int,part:int,kind:int,n:int,bits:binary>>").alias("replies"))
-        answered = scratch.table(_sort_out(_ask(asked, where, length, level, part_bits)), f"level{level}")
-        replies = replies.unionByName(answered.withColumn("level", F.lit(level)))
+        asked = _ask(informed(), where, length, level, part_bits)
+        if level:
+            asked = scratch.table(asked, f"asked{level}", ("kind",))
+            known = asked.where(F.col("kind") == STATE).select("unit", F.col("body").alias("state"))
+            asked = asked.where(F.col("kind") != STATE)
+        replies = scratch.table(_sort_out(asked), f"level{level}")
+        state = known if level else None
     scratch.release()
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__n_bytes long, __n_removed long, __n_spans long, __kept binary").fields])
 
     def cut(batches):
         arrow = to_arrow_schema(schema)
         for _, rows, unit, answers in _open(batches, where, length):
-            unit.replay(LEVELS, answers)
+            unit.settle(LEVELS - 1, answers)
             n_bytes, removed, runs, offsets, kept = unit.cut()
             del unit
             # Long texts make large batches, so the rows go in slices.
