@@ -172,6 +172,41 @@ def test_neighbours(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in neighbours.search(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, -1.0)]
 
 
+@pytest.mark.parametrize("size", [1e-200, 1e200, 1.0])
+def test_neighbours_of_any_length(spark, size):
+    """Components whose squares are no double-precision numbers any more, beside a vector of another order of size."""
+    x = np.random.default_rng(6).standard_normal((40, 4)) * size
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [1e-300, 0.0, 0.0, 1e-310]), (120, [5e-324, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id % 20 = 0"), k=60).collect()
+    found = Counter(r.query_id for r in got)
+    assert found == dict.fromkeys([0, 20, 100, 120], len(rows) - 1)
+
+
+def recall(spark, sf_dir):
+    """Share of the exact neighbours that op8 finds on a table of the driver's."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding is not None]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for r in neighbours.op8_neighbours(spark, sf_dir).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hit = 0
+    for q, found in got.items():
+        s = m @ m[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        hit += len(found & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    return hit / 20 / len(got)
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, name):
+    path = os.path.join(os.path.dirname(SF.rstrip("/")), name)
+    if not os.path.isdir(path):
+        pytest.skip("no such table")
+    assert recall(spark, path) >= 0.9
+
+
 def test_tiff_round_trip(edge, edge_rows, spark, none):
     got = tiff.read_pages(tiff.texts_to_tiff(edge).withColumn("page", F.lit("clash"))).collect()
     assert len(got) == len(edge_rows) and not any(r.error for r in got)

@@ -4,8 +4,12 @@ Each of ``m`` random projections is one sorted array of values a block.  A
 query's window in an array is centred on the query's own projection and grows
 by virtual rehashing: radius r, then r * growth, and so on, reading only what
 the wider window adds.  A vector that falls into at least ``threshold`` of the
-``m`` windows is verified, i.e. its exact inner product is computed.  A query
-is done in a block when enough vectors are verified.
+``m`` windows is verified, i.e. its exact inner product is computed.
+
+A query is done in a block when the radius is so wide that a vector as near as the k-th best
+verified one would be in ``threshold`` windows with probability ``SURE``.  The rule looks at the query's
+own scores, so it holds for any data: near neighbours end a search early, and where all vectors are
+about as far as one another most of a block is verified.
 
 Vectors of any norm are searched: one more coordinate makes all of them as long
 as the longest, so the largest inner product is the nearest vector.
@@ -17,6 +21,8 @@ and the best of all blocks are merged by a ranking per query.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,15 +32,33 @@ from tidemark.llm.scratch import Scratch
 
 PROJECTIONS = 64
 #: Windows of 64 that must hold a vector before it is verified.
-THRESHOLD = 40
-#: First radius as a share of the block's spread of a projection, and its growth.
-RADIUS, GROWTH = 0.8, 1.15
-#: A query is done in a block when this share of the block, or 4 k, is verified.
-SHARE = 0.17
-BLOCK, QUERY_BLOCK = 32768, 512
+THRESHOLD = 44
+#: First radius, for vectors of length 1, and its growth.
+RADIUS, GROWTH = 0.15, 1.2
+#: Chance that a vector as near as the k-th best one is verified.
+SURE = 0.93
+#: More than inner products of vectors of length 1 differ by in single precision.
+SINGLE = np.float32(1e-5)
+BLOCK, QUERY_BLOCK = 32768, 2048
 SEED = 11
 
 
+def reach(projections: int = PROJECTIONS, threshold: int = THRESHOLD, sure: float = SURE) -> float:
+    """Radius over distance at which a vector is in ``threshold`` windows with probability ``sure``.
+
+    A vector at distance d is in a window of radius r with p = P(|N(0, d)| <= r), in all windows alike.
+    """
+    def chance(ratio: float) -> float:
+        p = math.erf(ratio / math.sqrt(2))
+        return sum(math.comb(projections, i) * p**i * (1 - p) ** (projections - i) for i in range(threshold, projections + 1))
+
+    lo, hi = 0.0, 10.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chance(mid) < sure else (lo, mid)
+    return hi
+
+
 def usable(vector) -> F.Column:
     """Not null, no null or non-finite component, not zero, not empty."""
     big = float(np.finfo(np.float64).max)
@@ -43,46 +67,61 @@ def usable(vector) -> F.Column:
 
 
 class Index:
-    """Sorted arrays of one block of vectors."""
+    """Sorted arrays of one block of vectors, ``longest`` being the greatest length of all blocks over ``scale``."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors, self.longest = ids, vectors, longest
-        rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, scale: float, longest: float):
+        self.ids, self.vectors = ids, vectors
+        # Divided twice, as the product of both can be too small or large for a number.
+        unit = vectors / scale / longest
+        rest = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
         rng = np.random.default_rng(SEED)
-        self.axes = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS)) / max(longest, 1e-300)
-        values = np.column_stack([vectors, rest]) @ self.axes
-        self.order = np.argsort(values, axis=0).T.astype(np.int32).copy()
-        self.values = np.take_along_axis(values.T, self.order, axis=1)
-        self.spread = float(values.std()) or 1.0
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best verified vectors, nearest first, ties to the smaller id."""
+        self.axes = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS))
+        values = np.column_stack([unit, rest]) @ self.axes
+        self.unit = unit.astype(np.float32)
+        order = np.argsort(values, axis=0).T
+        values = np.take_along_axis(values.T, order, axis=1)
+        # All arrays in one: that of projection i starts at i * step.
+        self.step = 4 * float(np.abs(self.axes).sum(axis=0).max()) + 1
+        self.starts = np.arange(PROJECTIONS) * self.step
+        self.values = (values + self.starts[:, None]).ravel()
+        self.order = order.astype(np.int64).ravel()
+        self.reach = reach()
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(scores, ids) of the k best verified vectors, nearest first, ties to the smaller id, and how many were verified."""
         n = len(self.ids)
-        norm = float(np.sqrt(query @ query))
-        centre = np.append(query / norm, 0.0) @ self.axes * self.longest
-        enough = min(n, max(4 * k, int(np.ceil(SHARE * n))))
-        hits = np.zeros(n, np.int64)
-        radius = RADIUS * self.spread
-        lo = hi = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
-        lo, hi = lo.tolist(), hi.tolist()
-        while True:
-            fresh = []
-            for i, (values, order) in enumerate(zip(self.values, self.order, strict=True)):
-                a = min(int(values.searchsorted(centre[i] - radius)), lo[i])
-                b = max(int(values.searchsorted(centre[i] + radius, "right")), hi[i])
-                fresh += [order[a : lo[i]], order[hi[i] : b]]
-                lo[i], hi[i] = a, b
-            hits += np.bincount(np.concatenate(fresh), minlength=n)
-            found = np.flatnonzero(hits >= THRESHOLD)
-            if len(found) >= enough:
-                break
-            radius *= GROWTH
-        scores = np.einsum("ij,j->i", self.vectors[found], query)
+        unit = query / np.abs(query).max()
+        unit = unit / np.sqrt(unit @ unit)
+        centre = np.append(unit, 0.0) @ self.axes + self.starts
+        first, end = np.arange(PROJECTIONS) * n, np.arange(1, PROJECTIONS + 1) * n
+        lo = hi = np.clip(np.searchsorted(self.values, centre), first, end)
+        hits, new = np.zeros(n, np.int64), np.ones(n, bool)
+        found, near, radius = np.zeros(0, np.int64), np.zeros(0, np.float32), RADIUS
+        short = unit.astype(np.float32)
+        while new.any():
+            a = np.minimum(np.maximum(np.searchsorted(self.values, centre - radius), first), lo)
+            b = np.maximum(np.minimum(np.searchsorted(self.values, centre + radius, "right"), end), hi)
+            edges = zip([*a.tolist(), *hi.tolist()], [*lo.tolist(), *b.tolist()], strict=True)
+            hits += np.bincount(np.concatenate([self.order[i:j] for i, j in edges]), minlength=n)
+            lo, hi = a, b
+            fresh = np.flatnonzero((hits >= THRESHOLD) & new)
+            new[fresh] = False
+            fresh = fresh[self.ids[fresh] != own]
+            found, near = np.append(found, fresh), np.append(near, self.unit[fresh] @ short)
+            radius, last = radius * GROWTH, radius
+            if len(near) >= k:
+                kth = -np.partition(-near, k - 1)[k - 1]
+                keep = near >= kth - SINGLE  # whoever may be among the best when counted exactly
+                found, near = found[keep], near[keep]
+                enough = self.reach * math.sqrt(max(0.0, 2 - 2 * float(kth)))
+                if last >= enough:
+                    break
+                radius = min(radius, enough)
+        with np.errstate(over="ignore", invalid="ignore"):  # sums of huge components are infinite
+            scores = np.einsum("ij,j->i", self.vectors[found], query)
         ids = self.ids[found]
-        other = ids != own
-        scores, ids = scores[other], ids[other]
         best = np.lexsort((ids, -scores))[:k]
-        return scores[best], ids[best]
+        return scores[best], ids[best], n - int(new.sum())
 
 
 def _pack(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -94,7 +133,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
 
     Nearness is the inner product in double precision, ties go to the smaller
     key.  Vectors that are null, zero, or hold null or non-finite components
-    take no part, nor do those whose length is not the commonest one.  Rows
+    take no part, nor do those whose number of components is not the commonest one.  Rows
     that repeat a key are candidates each, but never of a query with that key.
     A null key takes no part.
     """
@@ -107,7 +146,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = good.where(F.size("v") == width[0])
-    longest = float(good.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0])
+    # Lengths are taken of vectors over their largest component, so that no square is too small or large.
+    scale = float(good.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
+    longest = float(good.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x / F.lit(scale), 2))))).first()[0])
     n_blocks = -(-width[1] // BLOCK)
     asked = pick(queries).where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == width[0])).dropDuplicates(["id"])
     n_asked = asked.count()
@@ -122,9 +163,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         out: list[tuple] = []
         if candidates.num_rows and questions.num_rows:
             table = candidates.sort_by("id")
-            index = Index(table["id"].to_numpy(), _pack(table["v"]), longest)
+            index = Index(table["id"].to_numpy(), _pack(table["v"]), scale, longest)
             for own, v in zip(questions["id"].to_pylist(), _pack(questions["v"]), strict=True):
-                scores, ids = index.search(v, own, k)
+                scores, ids, _ = index.search(v, own, k)
                 out.append((np.full(len(ids), own), ids, scores))
         q, i, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
