@@ -257,9 +257,9 @@ def test_repeats_told_apart_by_both_halves():
     e = repeats.Entries(np.array([3, 2, 1]), z, z, z, None, (np.full(3, 7, np.uint64), np.array([1, 1, 2], np.uint64) << np.uint64(32)))
     ids, more, least, number = e.wholes()
     assert ids.tolist() == [7, 7] and more.tolist() == [1, 2] and least.tolist() == [2, 1] and number.tolist() == [0, 0, 1]
-    raw = lambda m, d: repeats._planes(np.array([7], np.uint64)) + repeats._planes(np.array([m], np.uint32)) + repeats._planes(np.array([d]))
+    raw = lambda m, d: repeats.byte_planes(np.array([7], np.uint64)) + repeats.byte_planes(np.array([m], np.uint32)) + repeats.byte_planes(np.array([d]))
     assert repeats._answers(repeats.WHOLE, [1, 1, 1], [raw(1, 5), raw(2, 9), raw(1, 4)]).tolist() == [True, False, False]
-    assert repeats._answers(repeats.CORE, [1, 1], [repeats._planes(np.array([v], np.uint64)) for v in (7, 8)]).tolist() == [False, False]
+    assert repeats._answers(repeats.CORE, [1, 1], [repeats.byte_planes(np.array([v], np.uint64)) for v in (7, 8)]).tolist() == [False, False]
 
 
 def test_repeats_over_many_units_and_parts(spark, monkeypatch):

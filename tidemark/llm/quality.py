@@ -1,12 +1,17 @@
 """Quality classifier by importance resampling with Gumbel top-k.
 
-Target text is what the labels call good and not toxic; raw text is a mixture
-of labelled kinds of documents (target, toxic, poor).  Each kind is, for each
-language, a bag of hashed n-grams: words, word starts and word pairs.  A document's weight is the
-log ratio of the target's to the raw mixture's probability of its n-grams, and
-the k documents with the largest weight + Gumbel noise are a sample of size k
-without replacement by importance.  k is the number of documents that the
-weights make more likely target than not.
+Text is a bag of hashed n-grams: words, word starts and word pairs of one
+language.  The raw model is fitted on all documents: the rate of each n-gram in
+the whole corpus, and the components of raw text (``KINDS``), each a bag whose
+rates are the corpus' own unless labelled documents of its kind say otherwise;
+the components' shares are fitted on all documents by expectation steps.  The
+target model is the component of the labels' good and not toxic documents.
+
+A document's weight is log p(text | target) - log p(text | raw), raw being the
+mixture: under one bag of all raw text, what a few toxic words say would be lost in
+the sum over a long text.  The k documents with the largest weight + Gumbel noise
+are a sample of size k without replacement by importance.  k is the expected number of
+target documents, the target's share of the raw text times the number of documents.
 """
 
 from __future__ import annotations
@@ -20,23 +25,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.mixing import seeded_rank
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.text import byte_chunks, fold, mix64, prefix_hash, span_hash, word_spans
+from tidemark.llm.text import byte_chunks, byte_planes, fold, from_planes, mix64, prefix_hash, span_hash, text_or_empty, word_spans
 
-BITS = 17
+#: Cells of the tables of n-grams, and slots of languages; both are hashed, and fixed whatever the corpus.
+BITS, LANG_BITS, SLICE_BITS = 20, 10, 15
 #: No more labelled rows than this, drawn by a seeded hash of the key, fit the model.
 MAX_LABELS = 200_000
 STARTS = (4, 6)
-#: Language groups have n-gram models of their own.
-MAX_GROUPS = 6
-#: Pseudo-uses of every bucket, in which a kind's rate is that of all kinds.
-SMOOTH = 2.0
+#: Pseudo-uses of every n-gram, in which a kind's rate is that of the corpus.
+SMOOTH = np.float32(2.0)
 KINDS = ("target", "toxic", "poor")
+STEPS = 8
 SEED = "gumbel-1"
+LOGS = [f"__log_{k}" for k in KINDS]
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+_SALTS = mix64(np.arange(1, (1 << LANG_BITS) + 1, dtype=np.uint64) * _PAIR)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every n-gram of the rows; A-Z folded, pairs within a row."""
+def features(data: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of every n-gram of the rows, whose languages have ``slot``; A-Z folded, pairs within a row."""
     data = fold(data)
     start, end, row = word_spans(data, offsets)
     prefix = prefix_hash(data)
@@ -49,7 +56,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     paired = row[1:] == row[:-1]
     hashes.append(mix64(word[:-1][paired] * _PAIR + word[1:][paired]))
     rows.append(row[1:][paired])
-    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
+    rows = np.concatenate(rows)
+    return ((np.concatenate(hashes) + _SALTS[slot][rows]) >> np.uint64(64 - BITS)).astype(np.int64), rows
+
+
+def language_slot(lang: str) -> Column:
+    return F.pmod(F.xxhash64(lang), F.lit(1 << LANG_BITS)).cast("int")
 
 
 def label_sample(labels: DataFrame, key: str, limit: int) -> DataFrame:
@@ -63,72 +75,111 @@ def label_sample(labels: DataFrame, key: str, limit: int) -> DataFrame:
     return kinds.where(seeded_rank(key, "labels") < int(limit / n * 0.98 * 2**60))
 
 
-def group_of(docs: DataFrame, lang: str) -> tuple[Column, int]:
-    """The number of a row's language group, and of groups: the commonest languages, and one for the rest."""
-    named = docs.groupBy(lang).count().where(F.col(lang).isNotNull()).orderBy(F.desc("count"), lang).limit(MAX_GROUPS - 1).collect()
-    group = F.lit(len(named))
-    for i, row in enumerate(named):
-        group = F.when(F.col(lang) == row[0], F.lit(i)).otherwise(group)
-    return group.cast("int"), len(named) + 1
+class Model:
+    """Counts of n-grams in the corpus, and of each kind; ``ratio``: a kind's n-grams to the corpus', by language."""
 
+    def __init__(self, counts: np.ndarray):
+        cells, slots = 1 << BITS, 1 << LANG_BITS
+        n = len(KINDS) + 1
+        table, totals, self.labelled = counts[: n * cells].reshape(n, cells), counts[n * cells : n * (cells + slots)].reshape(n, slots), counts[n * (cells + slots) :]
+        self.raw, self.logs = table[0], np.log(table[1:] + SMOOTH)
+        self.ratio = (totals[1:] / np.maximum(totals[0], 1)).astype(np.float32)
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: Column, n_groups: int, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(log rate of each bucket relative to all kinds, by kind and group; log share of each kind; number of labelled documents).
+    def log_rates(self, cell: np.ndarray, slot: np.ndarray):
+        """Each kind's log rates of n-grams over those of the corpus."""
+        raw = self.raw[cell]
+        for k in range(len(KINDS)):
+            yield self.logs[k][cell] - np.log(raw * self.ratio[k][slot] + SMOOTH)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, limit: int) -> Model:
+    """Count the n-grams of all documents, and by kind those of labelled ones; of texts alike with one kind one counts."""
+    n, cells, slots = len(KINDS) + 1, 1 << BITS, 1 << LANG_BITS
+    size = n * (cells + slots) + len(KINDS)
 
-    Copies of one text with one kind count as one document.
-    """
     def count(batches):
-        total = np.zeros(len(KINDS) * n_groups << BITS, np.int64)
-        seen = np.zeros(len(KINDS), np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
-            kind, group = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            seen += np.bincount(kind, minlength=len(KINDS))
-            model = kind.astype(np.int64) * n_groups + group
+            kind, slot = batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy()
+            total[n * (cells + slots) :] += np.bincount(kind, minlength=n)[1:].astype(np.uint32)
             for lo, hi, data, offsets in byte_chunks(batch.column(0)):
-                bucket, row = features(data, offsets)
-                at, n = np.unique(model[lo:hi][row] << BITS | bucket, return_counts=True)
-                total[at] += n
+                cell, row = features(data, offsets, slot[lo:hi])
+                own, k = slot[lo:hi][row], kind[lo:hi][row]
+                total[:cells] += np.bincount(cell, minlength=cells).astype(np.uint32)
+                total[n * cells : n * cells + slots] += np.bincount(own, minlength=slots).astype(np.uint32)
+                of_kind = k > 0
+                np.add.at(total, k[of_kind].astype(np.int64) * cells + cell[of_kind], 1)
+                np.add.at(total, n * cells + k[of_kind].astype(np.int64) * slots + own[of_kind], 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1 - np.arange(len(KINDS)))), pa.array(np.append(total[at], seen))], ["cell", "n"])
-
-    sample = F.broadcast(label_sample(labels, key, limit))  # at most MAX_LABELS rows of two numbers
-    once = (docs.select(key, F.col(text).alias("t"), group.alias("g")).join(sample, key)
-            .select("t", F.col("kind").cast("int").alias("kind"), "g").dropDuplicates())
-    parts = once.mapInArrow(count, "cell long, n long")
-    # At most 3 * MAX_GROUPS * 2 ** BITS cells come to the driver, whatever the input.
-    found = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = found["cell"].to_numpy(), found["n"].to_numpy()
-    counts = np.zeros(len(KINDS) * n_groups << BITS)
-    counts[cell[cell >= 0]] = n[cell >= 0]
-    docs_of = np.zeros(len(KINDS))
-    docs_of[-1 - cell[cell < 0]] = n[cell < 0]
-    counts = counts.reshape(len(KINDS), n_groups, -1)
-    everywhere = counts.sum(axis=0) / np.maximum(counts.sum(axis=(0, 2))[:, None], 1)
-    rate = np.log((counts + SMOOTH) / (counts.sum(axis=2, keepdims=True) * everywhere + SMOOTH))
-    return rate, np.log((docs_of + 1e-9) / (docs_of.sum() + 3e-9)), int(docs_of.sum())
-
-
-def weigh(docs: DataFrame, rate: np.ndarray, share: np.ndarray, text: str, group: Column) -> DataFrame:
-    """``docs`` with ``__n_features`` and ``__log_weight``; a text without words weighs 0."""
-    names = docs.columns
-    tables = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(rate), share))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_features", T.LongType()), T.StructField("__log_weight", T.DoubleType())])
-    where = docs.columns.index(text)
-    arrow = to_arrow_schema(schema)
+        cuts = np.flatnonzero(np.diff(at >> SLICE_BITS)) + 1
+        parts = np.split(at, cuts) if len(at) else []
+        bodies = [byte_planes((p & ((1 << SLICE_BITS) - 1)).astype(np.uint16)) + byte_planes(total[p]) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) >> SLICE_BITS for p in parts], pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array(bodies, pa.binary())], ["slice", "n", "body"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, m, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = body.as_buffer()
+                held.setdefault(k, np.zeros(1 << SLICE_BITS, np.int64))[from_planes(raw, np.uint16, m)] += from_planes(raw[2 * m :], np.uint32, m)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in held.values()], pa.binary())], ["slice", "counts"])
+
+    alike = [F.xxhash64(text_or_empty(text)).alias("h1"), F.xxhash64(F.lit(1), text_or_empty(text)).alias("h2")]
+    sample = F.broadcast(label_sample(labels, key, limit))  # at most ``limit`` rows of two numbers
+    once = (docs.select(key, *alike).join(sample, key).groupBy("h1", "h2", "kind").agg(F.min(key).alias(key))
+            .select(key, "h1", (F.col("kind") + 1).cast("int").alias("kind")).dropDuplicates([key, "h1"]))
+    marked = (docs.select(key, alike[0], F.col(text).alias("t"), language_slot(lang).alias("slot"))
+              .join(F.broadcast(once), [key, "h1"], "left").select("t", "kind", "slot"))
+    # The table's cells come to the driver, as many whatever the input.
+    found = (marked.mapInArrow(count, "slice int, n int, body binary").repartition(-(-size >> SLICE_BITS), "slice")
+             .mapInArrow(add, "slice int, counts binary").collect())
+    counts = np.zeros(-(-size >> SLICE_BITS) << SLICE_BITS, np.float32)
+    for k, body in found:
+        counts[k << SLICE_BITS : (k + 1) << SLICE_BITS] = np.frombuffer(body, "<f4")
+    return Model(counts[:size])
+
+
+def score(docs: DataFrame, model, text: str, lang: str) -> DataFrame:
+    """``docs`` with ``__n_features`` and each kind's log probability of the text over the corpus' (``LOGS``); a text without words has 0."""
+    names, where = docs.columns, docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__n_features", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in LOGS)])
 
     def run(batches):
-        rate, share = tables.value
+        arrow, m = to_arrow_schema(schema), model.value
         for batch in batches:
-            g = batch.column(len(names)).to_numpy()
-            n, w = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            slot = batch.column(len(names)).to_numpy()
+            n, logs = np.zeros(batch.num_rows, np.int64), np.zeros((len(KINDS), batch.num_rows))
             for lo, hi, data, offsets in byte_chunks(batch.column(where)):
-                bucket, row = features(data, offsets)
+                cell, row = features(data, offsets, slot[lo:hi])
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
-                logs = np.stack([np.bincount(row, r[g[lo:hi][row], bucket], hi - lo) for r in rate])
-                w[lo:hi] = logs[0] - np.logaddexp.reduce(logs + share[:, None], axis=0)
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, list(arrow)[: len(names)], strict=False)), pa.array(n), pa.array(w)], schema=arrow)
+                for k, rates in enumerate(m.log_rates(cell, slot[lo:hi][row])):
+                    logs[k, lo:hi] = np.bincount(row, rates, hi - lo)
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[: len(names)], list(arrow), strict=False)), pa.array(n), *map(pa.array, logs)], schema=arrow)
+
+    return docs.withColumn("__slot", language_slot(lang)).mapInArrow(run, schema)
 
-    return docs.withColumn("__group", group).mapInArrow(run, schema)
+
+def _raw(share: list[float]) -> Column:
+    """The log probability of a text under the mixture of raw text, over the corpus' bag."""
+    parts = [F.col(x) + F.lit(float(np.log(s + 1e-12))) for x, s in zip(LOGS, share, strict=True)]
+    best = F.greatest(*parts)
+    return best + F.log(sum((F.exp(p - best) for p in parts), F.lit(0.0)))
+
+
+def shares(logs: DataFrame, start: list[float], steps: int = STEPS) -> tuple[list[float], float]:
+    """(shares of the kinds in all documents, expected number of target documents), by expectation steps from ``start``."""
+    share, n = start, 0.0
+    for _ in range(steps):
+        raw = _raw(share)
+        posterior = [F.coalesce(F.sum(F.exp(F.col(x) + F.lit(float(np.log(s + 1e-12))) - raw)), F.lit(0.0)) for x, s in zip(LOGS, share, strict=True)]
+        sums = logs.agg(*posterior).first()
+        total = sum(sums) or 1.0
+        new, n = [x / total for x in sums], sums[0]
+        done = max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-4
+        share = new
+        if done:
+            break
+    return share, n
 
 
 def gumbel(key: str, seed: str = SEED) -> Column:
@@ -157,29 +208,44 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
             return lo
 
 
+class Sample:
+    """What the sample takes: ``logs`` has a row a document, ``weigh`` adds its weight and key, ``least`` is the key of the last one."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, limit: int, seed: str):
+        self.scratch = Scratch(docs.sparkSession, "quality")
+        self.key, self.text, self.lang, self.seed = key, text, lang, seed
+        model = fit(docs, labels, key, text, lang, limit)
+        self.model = docs.sparkSession.sparkContext.broadcast(model)
+        self.logs = self.scratch.table(score(docs.select(key, text, lang), self.model, text, lang).select(key, "__n_features", *LOGS), "logs")
+        self.share, self.least = [1.0] + [0.0] * (len(KINDS) - 1), None
+        if model.labelled.sum():
+            self.share, expected = shares(self.logs, (model.labelled / model.labelled.sum()).tolist())
+            k = round(expected)
+            # No document is a target's: the sample is empty.
+            self.least = kth_largest(self.weigh(self.logs), "__key", k) if k else float("inf")
+
+    def weigh(self, logs: DataFrame) -> DataFrame:
+        weight = F.col(LOGS[0]) - _raw(self.share)
+        return logs.withColumn("__log_weight", weight).withColumn("__key", F.col("__log_weight") + gumbel(self.key, self.seed)).drop(*LOGS)
+
+    def taken(self, weighed: DataFrame) -> DataFrame:
+        return weighed if self.least is None else weighed.where(F.col("__key") >= F.lit(self.least))
+
+
 def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = MAX_LABELS, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs`` that the sample takes, with ``__log_weight`` and ``__key`` added.
+    """The rows of ``docs`` that the sample takes, with ``__n_features``, ``__log_weight`` and ``__key`` added.
 
     Rows of equal key and text are taken or left together, and ties at the
-    k-th place are all taken.  Null keys share one noise value.  Null and empty texts weigh
-    0, so they are taken where most labelled rows are good.  Without labelled
-    rows every row is taken.
+    k-th place are all taken.  Null keys share one noise value; a null language is one of its own.  Null and empty texts weigh
+    0, so they are taken where most documents are good.  Without labelled
+    rows every row is taken.  Texts are read for the counts, for the choice, and for the rows that stay; they are never shuffled.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    group, n_groups = group_of(docs, lang)
-    rate, share, n_labelled = fit(docs, labels, key, text, group, n_groups, limit)
-    weighed = weigh(docs, rate, share, text, group).withColumn("__key", F.col("__log_weight") + gumbel(key, seed))
-    if not n_labelled:
-        return weighed
-    narrow = scratch.table(weigh(docs.select(key, text, lang), rate, share, text, group).select(
-        "__log_weight", (F.col("__log_weight") + gumbel(key, seed)).alias("__key")), "weights")
-    k = narrow.where(F.col("__log_weight") >= float(np.log(0.5) - share[0])).count()
-    if not k:
-        return weighed.limit(0)
-    return weighed.where(F.col("__key") >= F.lit(kth_largest(narrow, "__key", k)))
+    sample = Sample(docs, labels, key, text, lang, limit, seed)
+    return sample.taken(sample.weigh(score(docs, sample.model, text, lang)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    kept = select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return kept.select("doc_id", F.col("__n_features").alias("n_features"), F.col("__log_weight").alias("log_weight"), F.col("__key").alias("gumbel_key"))
+    sample = Sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "lang", MAX_LABELS, SEED)
+    return sample.taken(sample.weigh(sample.logs)).select(
+        "doc_id", F.col("__n_features").alias("n_features"), F.col("__log_weight").alias("log_weight"), F.col("__key").alias("gumbel_key"))

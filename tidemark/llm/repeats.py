@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.text import byte_chunks, mix64, powers, prefix_hash, text_or_empty
+from tidemark.llm.text import byte_chunks, byte_planes, from_planes, mix64, powers, prefix_hash, text_or_empty
 
 NO_KEY = 2**63 - 1
 #: Bytes of text of a unit, bytes that are hashed together, and bytes of text whose entries make a part.
@@ -179,10 +179,10 @@ class Unit:
         place, low, high = self.ranges
         order = np.argsort(first)
         numbers = np.concatenate([[len(first), len(place)], np.diff(first[order], prepend=0), (last - first)[order], np.diff(place, prepend=0), place - low, place - high])
-        return _planes(numbers)
+        return byte_planes(numbers)
 
     def _restore(self, state: bytes) -> None:
-        numbers = _numbers(state, np.int64, len(state) // 8)
+        numbers = from_planes(state, np.int64, len(state) // 8)
         n, m = numbers[:2]
         cuts = np.cumsum([2, n, n, m, m])
         first, size, place, low, high = np.split(numbers, cuts)[1:]
@@ -240,16 +240,6 @@ class Unit:
         return np.diff(self.offsets), np.diff(removed), np.diff(upto(start)), self.offsets - removed, self.data[~gone]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, first all lowest bytes: bytes that are alike lie together and compress."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _numbers(raw, kind, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T.copy().view(kind).ravel()
-
-
 def _part_of(ids: np.ndarray, part_bits: int) -> np.ndarray:
     return (ids >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(ids), np.int64)
 
@@ -260,7 +250,7 @@ def _blocks(kind: int, part_bits: int, ids: np.ndarray, *more: np.ndarray):
     at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(ids) else np.zeros(0, np.int64)
     for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=False):
         steps = np.diff(ids[lo:hi], prepend=np.uint64(0))
-        yield int(part[lo]), kind, hi - lo, _planes(steps) + b"".join(_planes(x[lo:hi]) for x in more)
+        yield int(part[lo]), kind, hi - lo, byte_planes(steps) + b"".join(byte_planes(x[lo:hi]) for x in more)
 
 
 def _pack(docs: DataFrame, text: str) -> DataFrame:
@@ -327,15 +317,15 @@ def _ask(units: DataFrame, where: int, length: int, level: int, part_bits: int)
 
 def _answers(kind: int, sizes: list[int], bodies: list) -> np.ndarray:
     """A flag per entry of the blocks of one part: shared core, or whole of an earlier document."""
-    ids = np.concatenate([np.cumsum(_numbers(b, np.uint64, n), dtype=np.uint64) for n, b in zip(sizes, bodies, strict=True)])
+    ids = np.concatenate([np.cumsum(from_planes(b, np.uint64, n), dtype=np.uint64) for n, b in zip(sizes, bodies, strict=True)])
     flags = np.zeros(len(ids), bool)
     if kind == CORE:
         order = np.argsort(ids)
         same = ids[order][1:] == ids[order][:-1]
         flags[order[1:][same]] = flags[order[:-1][same]] = True
         return flags
-    more = np.concatenate([_numbers(b[8 * n :], np.uint32, n) for n, b in zip(sizes, bodies, strict=True)])
-    doc = np.concatenate([_numbers(b[12 * n :], np.int64, n) for n, b in zip(sizes, bodies, strict=True)])
+    more = np.concatenate([from_planes(b[8 * n :], np.uint32, n) for n, b in zip(sizes, bodies, strict=True)])
+    doc = np.concatenate([from_planes(b[12 * n :], np.int64, n) for n, b in zip(sizes, bodies, strict=True)])
     order, new, least = _grouped(ids, more, doc)
     flags[order] = doc[order] > least[np.cumsum(new) - 1]
     return flags

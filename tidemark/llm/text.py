@@ -127,3 +127,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def fold(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z in UTF-8 bytes."""
     return _FOLD[data]
+
+
+def byte_planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, first all lowest bytes: bytes that are alike lie together and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(raw, kind, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``byte_planes`` made the first bytes of ``raw`` from."""
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * size).reshape(size, n).T.copy().view(kind).ravel()
