@@ -1,5 +1,6 @@
 """Page limits, rate limits, type replacement and tracing."""
 
+import time
 import warnings
 
 import numpy as np
@@ -69,9 +70,13 @@ def brute(rows, points, length):
     return out
 
 
+#: Not the epoch: a watermark starts there, and what is not after it is late.
+START = 1_700_000_000_000_000
+
+
 def requests(spark, n=300, keys=4):
     rng = np.random.default_rng(5)
-    rows = [(f"k{rng.integers(keys)}", int(rng.integers(0, 50)) * 1_000_000, i) for i in range(n)]
+    rows = [(f"k{rng.integers(keys)}", START + int(rng.integers(0, 50)) * 1_000_000, i) for i in range(n)]
     return rows, spark.createDataFrame(rows, "key string, us long, id long").withColumn("ts", F.timestamp_micros("us"))
 
 
@@ -96,16 +101,34 @@ def test_windows_carry_over_batches():
     assert whole == parts == [1, 2, 3, 1, 2, 1, 1, 2, 3, 1]
 
 
-def test_stream_of_requests(spark, tmp_path):
-    rows, df = requests(spark, 120)
-    cut = [df.where("us < 20000000"), df.where("us >= 20000000")]
+def judged_stream(spark, df, parts, tmp_path, limit, seconds, pause=0.0):
+    """{id: (consumed, allowed)} of a stream that gets ``parts`` one after another."""
     path, out = str(tmp_path / "in"), []
-    for part in cut:
+    for part in parts:
         part.coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(df.schema).parquet(path)
-        judged = consume_stream(stream, "key", "ts", "id", 3, 10)
-        judged.writeStream.foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.id: (r.consumed, r.allowed) for r in out} == brute(rows, 3, 10_000_000)
+        query = (consume_stream(stream, "key", "ts", "id", limit, seconds).writeStream.foreachBatch(lambda b, n: out.extend(b.collect()))
+                 .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+        try:
+            assert query.awaitTermination(240), "the stream has read all and does not end"
+        finally:
+            query.stop()
+        time.sleep(pause)
+    return {r.id: (r.consumed, r.allowed) for r in out}
+
+
+def test_stream_of_requests(spark, tmp_path):
+    rows, df = requests(spark, 120)
+    got = judged_stream(spark, df, [df.where(F.col("us") < START + 20_000_000), df.where(F.col("us") >= START + 20_000_000)], tmp_path, 3, 10)
+    assert got == brute(rows, 3, 10_000_000)
+
+
+def test_stream_keeps_windows_over_a_pause(spark, tmp_path):
+    """The pause between the parts is longer than a window, in which no time passes for the requests."""
+    rows = [("k", START + us, i) for i, us in ((1, 0), (2, 100_000), (3, 200_000), (4, 900_000), (5, 1_100_000))]
+    df = spark.createDataFrame(rows, "key string, us long, id long").withColumn("ts", F.timestamp_micros("us"))
+    got = judged_stream(spark, df, [df.where("id <= 2"), df.where("id > 2")], tmp_path, 3, 1, pause=1.5)
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, False), 5: (1, True)}
 
 
 def test_precedence_and_keys(spark):
