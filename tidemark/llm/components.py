@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregates and joins on the edge table, so a component of
-any size and a node with any number of edges are handled without collecting a
-group.  The edge table is written each round, which cuts the lineage.
+any size is handled without collecting a group.  A node with more than 1 / ``HOT`` of
+all edge ends gets its least neighbour by broadcast, and there are at most
+2 * ``HOT`` such nodes whatever the graph; so no task of a join holds more than that share of
+the edges for one node.  The edge table is written each round, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -12,19 +14,28 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
 
+HOT = 500
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(ends: DataFrame, n_edges: int) -> DataFrame:
+    """(a, b, m): ``m`` is the least b of each a."""
+    least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = least.where(F.col("n") > n_edges // HOT + 100).select("a", F.col("m").alias("hot"))
+    marked = ends.join(F.broadcast(hot), "a", "left")
+    cold = marked.where(F.col("hot").isNull()).select("a", "b").join(least.select("a", "m"), "a")
+    return cold.unionByName(marked.where(F.col("hot").isNotNull()).select("a", "b", F.col("hot").alias("m")))
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    return (both.join(least, "a").where(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    # One row an edge, so what repeats can wait for the small star.
+    return _with_least(both, n_edges).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    # The row of the least neighbour links the node itself, the others are linked to the least.
+    return (_with_least(down, n_edges).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +51,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        new = scratch.table(_small_star(_large_star(edges)), "edges")
+        new = scratch.table(_small_star(_large_star(edges, state[0]), state[0]), "edges")
         scratch.drop(edges)
         edges, old = new, state
         state = _state(edges)
