@@ -1,11 +1,9 @@
 """Quality classifier by importance resampling with Gumbel top-k.
 
 Text is a bag of hashed n-grams: words, word starts and word pairs of one
-language.  The raw model is fitted on all documents: the rate of each n-gram in
-the whole corpus, and the components of raw text (``KINDS``), each a bag whose
-rates are the corpus' own unless labelled documents of its kind say otherwise;
-the components' shares are fitted on all documents by expectation steps.  The
-target model is the component of the labels' good and not toxic documents.
+language.  The target model is the bag of the labels' good and not toxic documents.
+The raw model is a mixture of components (``KINDS``): their bags come from labelled documents,
+and their shares are fitted on all documents of the corpus by expectation steps.
 
 A document's weight is log p(text | target) - log p(text | raw), raw being the
 mixture: under one bag of all raw text, what a few toxic words say would be lost in
@@ -27,23 +25,24 @@ from tidemark.llm.mixing import seeded_rank
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.text import byte_chunks, byte_planes, fold, from_planes, mix64, prefix_hash, span_hash, text_or_empty, word_spans
 
-#: Cells of the tables of n-grams, and slots of languages; both are hashed, and fixed whatever the corpus.
-BITS, LANG_BITS, SLICE_BITS = 20, 10, 15
+#: Cells of a language's table of n-grams, and of what travels as one row.
+BITS, SLICE_BITS = 17, 15
+#: The commonest languages have tables of their own, and the others one together.
+MAX_GROUPS = 6
 #: No more labelled rows than this, drawn by a seeded hash of the key, fit the model.
 MAX_LABELS = 200_000
 STARTS = (4, 6)
-#: Pseudo-uses of every n-gram, in which a kind's rate is that of the corpus.
+#: Pseudo-uses of every n-gram, in which a kind's rate is that of all kinds.
 SMOOTH = np.float32(2.0)
 KINDS = ("target", "toxic", "poor")
 STEPS = 8
 SEED = "gumbel-1"
 LOGS = [f"__log_{k}" for k in KINDS]
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-_SALTS = mix64(np.arange(1, (1 << LANG_BITS) + 1, dtype=np.uint64) * _PAIR)
 
 
-def features(data: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row) of every n-gram of the rows, whose languages have ``slot``; A-Z folded, pairs within a row."""
+def features(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of every n-gram of the rows, whose languages have the numbers ``group``; A-Z folded, pairs within a row."""
     data = fold(data)
     start, end, row = word_spans(data, offsets)
     prefix = prefix_hash(data)
@@ -57,11 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[n
     hashes.append(mix64(word[:-1][paired] * _PAIR + word[1:][paired]))
     rows.append(row[1:][paired])
     rows = np.concatenate(rows)
-    return ((np.concatenate(hashes) + _SALTS[slot][rows]) >> np.uint64(64 - BITS)).astype(np.int64), rows
-
-
-def language_slot(lang: str) -> Column:
-    return F.pmod(F.xxhash64(lang), F.lit(1 << LANG_BITS)).cast("int")
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64) | group[rows].astype(np.int64) << BITS, rows
 
 
 def label_sample(labels: DataFrame, key: str, limit: int) -> DataFrame:
@@ -75,41 +70,45 @@ def label_sample(labels: DataFrame, key: str, limit: int) -> DataFrame:
     return kinds.where(seeded_rank(key, "labels") < int(limit / n * 0.98 * 2**60))
 
 
+def group_of(docs: DataFrame, lang: str) -> tuple[Column, int]:
+    """The number of a row's language group, and of groups: the commonest languages, and one for the rest."""
+    named = docs.groupBy(lang).count().where(F.col(lang).isNotNull()).orderBy(F.desc("count"), lang).limit(MAX_GROUPS - 1).collect()
+    group = F.lit(len(named))
+    for i, row in enumerate(named):
+        group = F.when(F.col(lang) == row[0], F.lit(i)).otherwise(group)
+    return group.cast("int"), len(named) + 1
+
+
 class Model:
-    """Counts of n-grams in the corpus, and of each kind; ``ratio``: a kind's n-grams to the corpus', by language."""
-
-    def __init__(self, counts: np.ndarray):
-        cells, slots = 1 << BITS, 1 << LANG_BITS
-        n = len(KINDS) + 1
-        table, totals, self.labelled = counts[: n * cells].reshape(n, cells), counts[n * cells : n * (cells + slots)].reshape(n, slots), counts[n * (cells + slots) :]
-        self.raw, self.logs = table[0], np.log(table[1:] + SMOOTH)
-        self.ratio = (totals[1:] / np.maximum(totals[0], 1)).astype(np.float32)
-
-    def log_rates(self, cell: np.ndarray, slot: np.ndarray):
-        """Each kind's log rates of n-grams over those of the corpus."""
-        raw = self.raw[cell]
+    """Counts of n-grams in labelled documents, by kind; ``ratio``: a kind's n-grams to all kinds', by language."""
+
+    def __init__(self, counts: np.ndarray, n_groups: int):
+        cells, n = n_groups << BITS, len(KINDS)
+        table, self.labelled = counts[: n * cells].reshape(n, cells), counts[n * cells :]
+        totals = table.reshape(n, n_groups, -1).sum(axis=2, dtype=np.float64).astype(np.float32)
+        self.all, self.logs = table.sum(axis=0), np.log(table + SMOOTH)
+        self.ratio = totals / np.maximum(totals.sum(axis=0), 1)
+
+    def log_rates(self, cell: np.ndarray):
+        """Each kind's log rates of n-grams over those of all kinds."""
+        everywhere = self.all[cell]
         for k in range(len(KINDS)):
-            yield self.logs[k][cell] - np.log(raw * self.ratio[k][slot] + SMOOTH)
+            yield self.logs[k][cell] - np.log(everywhere * self.ratio[k][cell >> BITS] + SMOOTH)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, limit: int) -> Model:
-    """Count the n-grams of all documents, and by kind those of labelled ones; of texts alike with one kind one counts."""
-    n, cells, slots = len(KINDS) + 1, 1 << BITS, 1 << LANG_BITS
-    size = n * (cells + slots) + len(KINDS)
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: Column, n_groups: int, limit: int) -> Model:
+    """Count the n-grams of labelled documents by kind; of texts alike with one kind the one of the least key counts."""
+    n, cells = len(KINDS), n_groups << BITS
+    size = n * cells + n
 
     def count(batches):
         total = np.zeros(size, np.uint32)
         for batch in batches:
-            kind, slot = batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy()
-            total[n * (cells + slots) :] += np.bincount(kind, minlength=n)[1:].astype(np.uint32)
+            kind, group = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+            total[n * cells :] += np.bincount(kind, minlength=n).astype(np.uint32)
             for lo, hi, data, offsets in byte_chunks(batch.column(0)):
-                cell, row = features(data, offsets, slot[lo:hi])
-                own, k = slot[lo:hi][row], kind[lo:hi][row]
-                total[:cells] += np.bincount(cell, minlength=cells).astype(np.uint32)
-                total[n * cells : n * cells + slots] += np.bincount(own, minlength=slots).astype(np.uint32)
-                of_kind = k > 0
-                np.add.at(total, k[of_kind].astype(np.int64) * cells + cell[of_kind], 1)
-                np.add.at(total, n * cells + k[of_kind].astype(np.int64) * slots + own[of_kind], 1)
+                cell, row = features(data, offsets, group[lo:hi])
+                np.add.at(total, kind[lo:hi][row] * cells + cell, 1)
         at = np.flatnonzero(total)
         cuts = np.flatnonzero(np.diff(at >> SLICE_BITS)) + 1
         parts = np.split(at, cuts) if len(at) else []
@@ -127,40 +126,39 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, limi
     alike = [F.xxhash64(text_or_empty(text)).alias("h1"), F.xxhash64(F.lit(1), text_or_empty(text)).alias("h2")]
     sample = F.broadcast(label_sample(labels, key, limit))  # at most ``limit`` rows of two numbers
     once = (docs.select(key, *alike).join(sample, key).groupBy("h1", "h2", "kind").agg(F.min(key).alias(key))
-            .select(key, "h1", (F.col("kind") + 1).cast("int").alias("kind")).dropDuplicates([key, "h1"]))
-    marked = (docs.select(key, alike[0], F.col(text).alias("t"), language_slot(lang).alias("slot"))
-              .join(F.broadcast(once), [key, "h1"], "left").select("t", "kind", "slot"))
+            .select(key, "h1", "h2", F.col("kind").cast("int").alias("kind")))
+    chosen = docs.select(key, *alike, F.col(text).alias("t"), group.alias("group")).join(F.broadcast(once), [key, "h1", "h2"]).select("t", "kind", "group")
     # The table's cells come to the driver, as many whatever the input.
-    found = (marked.mapInArrow(count, "slice int, n int, body binary").repartition(-(-size >> SLICE_BITS), "slice")
+    found = (chosen.mapInArrow(count, "slice int, n int, body binary").repartition(-(-size >> SLICE_BITS), "slice")
              .mapInArrow(add, "slice int, counts binary").collect())
     counts = np.zeros(-(-size >> SLICE_BITS) << SLICE_BITS, np.float32)
     for k, body in found:
         counts[k << SLICE_BITS : (k + 1) << SLICE_BITS] = np.frombuffer(body, "<f4")
-    return Model(counts[:size])
+    return Model(counts[:size], n_groups)
 
 
-def score(docs: DataFrame, model, text: str, lang: str) -> DataFrame:
-    """``docs`` with ``__n_features`` and each kind's log probability of the text over the corpus' (``LOGS``); a text without words has 0."""
+def score(docs: DataFrame, model, text: str, group: Column) -> DataFrame:
+    """``docs`` with ``__n_features`` and each kind's log probability of the text over that of all kinds (``LOGS``); a text without words has 0."""
     names, where = docs.columns, docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_features", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in LOGS)])
 
     def run(batches):
         arrow, m = to_arrow_schema(schema), model.value
         for batch in batches:
-            slot = batch.column(len(names)).to_numpy()
+            group = batch.column(len(names)).to_numpy()
             n, logs = np.zeros(batch.num_rows, np.int64), np.zeros((len(KINDS), batch.num_rows))
             for lo, hi, data, offsets in byte_chunks(batch.column(where)):
-                cell, row = features(data, offsets, slot[lo:hi])
+                cell, row = features(data, offsets, group[lo:hi])
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
-                for k, rates in enumerate(m.log_rates(cell, slot[lo:hi][row])):
+                for k, rates in enumerate(m.log_rates(cell)):
                     logs[k, lo:hi] = np.bincount(row, rates, hi - lo)
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[: len(names)], list(arrow), strict=False)), pa.array(n), *map(pa.array, logs)], schema=arrow)
 
-    return docs.withColumn("__slot", language_slot(lang)).mapInArrow(run, schema)
+    return docs.withColumn("__group", group).mapInArrow(run, schema)
 
 
 def _raw(share: list[float]) -> Column:
-    """The log probability of a text under the mixture of raw text, over the corpus' bag."""
+    """The log probability of a text under the mixture of raw text, over that of all kinds in one bag."""
     parts = [F.col(x) + F.lit(float(np.log(s + 1e-12))) for x, s in zip(LOGS, share, strict=True)]
     best = F.greatest(*parts)
     return best + F.log(sum((F.exp(p - best) for p in parts), F.lit(0.0)))
@@ -213,10 +211,11 @@ class Sample:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, limit: int, seed: str):
         self.scratch = Scratch(docs.sparkSession, "quality")
-        self.key, self.text, self.lang, self.seed = key, text, lang, seed
-        model = fit(docs, labels, key, text, lang, limit)
+        self.key, self.seed = key, seed
+        self.group, n_groups = group_of(docs, lang)
+        model = fit(docs, labels, key, text, self.group, n_groups, limit)
         self.model = docs.sparkSession.sparkContext.broadcast(model)
-        self.logs = self.scratch.table(score(docs.select(key, text, lang), self.model, text, lang).select(key, "__n_features", *LOGS), "logs")
+        self.logs = self.scratch.table(score(docs.select(key, text, lang), self.model, text, self.group).select(key, "__n_features", *LOGS), "logs")
         self.share, self.least = [1.0] + [0.0] * (len(KINDS) - 1), None
         if model.labelled.sum():
             self.share, expected = shares(self.logs, (model.labelled / model.labelled.sum()).tolist())
@@ -236,12 +235,12 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """The rows of ``docs`` that the sample takes, with ``__n_features``, ``__log_weight`` and ``__key`` added.
 
     Rows of equal key and text are taken or left together, and ties at the
-    k-th place are all taken.  Null keys share one noise value; a null language is one of its own.  Null and empty texts weigh
+    k-th place are all taken.  Null keys share one noise value; null languages belong to the rest.  Null and empty texts weigh
     0, so they are taken where most documents are good.  Without labelled
     rows every row is taken.  Texts are read for the counts, for the choice, and for the rows that stay; they are never shuffled.
     """
     sample = Sample(docs, labels, key, text, lang, limit, seed)
-    return sample.taken(sample.weigh(score(docs, sample.model, text, lang)))
+    return sample.taken(sample.weigh(score(docs, sample.model, text, sample.group)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,29 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffles go once it stands, and Python workers get small batches, so that long texts
+#: and many rows don't gather beside an executor's heap.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+           "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+#: Seconds between two collections of the driver's finished objects.
+APART = 3.0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one only where the session names none."""
+    """The shared folder; a local one only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("executors on other machines need a folder that all of them share: set spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -32,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Names, writes, rereads and removes the tables of one operator call."""
 
+    _released = 0.0
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
@@ -48,13 +58,14 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", "zstd").options(**options)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        # The written table replaces the shuffles that made it, so these can go at once.
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k) for k in WRITING}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             writer.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -65,6 +76,9 @@ class Scratch:
         Spark does so when the driver's objects for them are collected, which a
         driver with a large heap may put off until the disks are full.
         """
+        if time.monotonic() - Scratch._released < APART:
+            return
+        Scratch._released = time.monotonic()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
