@@ -17,7 +17,7 @@ def setting(session: dict, name: str, default: str = "system") -> str:
 
 def policy(text: str, session: dict) -> Column:
     """A policy's SQL with ``:name`` bound to session settings as text literals; unset ones are null."""
-    bound = re.sub(r":([a-z_]+)", lambda m: "NULL" if session.get(m[1]) is None else "'" + str(session[m[1]]).replace("\\", "\\\\").replace("'", "\\'") + "'", text)
+    bound = re.sub(r"(?<!:):([a-z_]+)", lambda m: "NULL" if session.get(m[1]) is None else "'" + str(session[m[1]]).replace("\\", "\\\\").replace("'", "\\'") + "'", text)
     return F.coalesce(F.expr(bound), F.lit(False))
 
 

@@ -113,12 +113,18 @@ def icontains(c: Column, value, a: Attribute) -> Column:
     """Contains, ignoring case; ``%`` and ``_`` in the input are wildcards.  Null takes nothing."""
     if value is None:
         return F.lit(False)
-    pattern = F.concat(F.lit("%"), value if isinstance(value, Column) else F.lit(str(value)), F.lit("%"))
+    pattern = F.concat(F.lit("%"), as_text(value), F.lit("%"))
     return F.exists(c, lambda x: F.ilike(x, pattern)) if a.is_array else F.ilike(c, pattern)
 
 
 def starts_with(c: Column, value, a: Attribute) -> Column:
-    return F.lit(False) if value is None else c.startswith(str(value))
+    """Starts with the text; null takes nothing."""
+    return F.lit(False) if value is None else c.startswith(as_text(value))
+
+
+def as_text(value) -> Column:
+    """A value or a parameter as text."""
+    return value.cast("string") if isinstance(value, Column) else F.lit(str(value))
 
 
 def search_range(c: Column, bounds: dict, a: Attribute) -> Column:
@@ -132,16 +138,16 @@ def search_icontains(c: Column, value, a: Attribute) -> Column:
         return F.lit(False)
     at = F.col(a.config["field"]) if "field" in a.config else c
     if a.is_array:
-        return F.exists(at, lambda x: F.lower(x).contains(str(value).lower()))
-    return F.lower(at).contains(str(value).lower())
+        return F.exists(at, lambda x: F.lower(x).contains(F.lower(as_text(value))))
+    return F.lower(at).contains(F.lower(as_text(value)))
 
 
 REGISTRY = Registry()
 for _name, _text in (("eq", "equal to the value"), ("eqIn", "equal to one of the values"),
-                     ("range", "between two bounds"), ("icontains", "contains the text, ignoring case")):
+                     ("range", "between two bounds"), ("icontains", "contains the text, ignoring case"), ("startsWith", "starts with the text")):
     REGISTRY.add_type(_name, _text)
 REGISTRY.add_method("search", {"eq": eq, "eqIn": eq_in, "range": search_range, "icontains": search_icontains}, on_subscription=False)
-REGISTRY.add_method("plain", {"eq": eq, "eqIn": eq_in, "range": in_range, "icontains": icontains})
+REGISTRY.add_method("plain", {"eq": eq, "eqIn": eq_in, "range": in_range, "icontains": icontains, "startsWith": starts_with})
 
 
 @dataclass

@@ -112,7 +112,7 @@ def create_nested(spark: SparkSession, items: list[dict], spec: TableSpec, specs
         out[table] = done.target
         written.setdefault(table, []).append(done.rows)
     for table, parts in written.items():
-        results[table] = reduce(DataFrame.unionByName, parts).orderBy(RN)
+        results[table] = reduce(DataFrame.unionByName, parts)
     return out, results
 
 

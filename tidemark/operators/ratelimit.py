@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.ids import client_ip
 from tidemark.plans.spec import SpecError
 
 OPERATIONS = ("connection", "field", "create", "update", "delete")
@@ -152,6 +154,31 @@ def consume(requests: DataFrame, key: str, ts: str, request_id: str, points: int
         "retry_after_ms": F.when(~allowed, F.ceil((F.col("__reset") - F.col("__us")) / 1000))}).drop("__us", "__reset")
 
 
+def consume_in_turn(requests: DataFrame, limits: list[tuple[str, str, Limit]], ts: str, request_id: str) -> DataFrame:
+    """Judge requests by several limits (name, key column, limit), one after another.
+
+    The first limit that a request is over rejects it, and it consumes none of those
+    after.  Adds ``allowed`` and ``rejected_by``, the name of that limit.
+    """
+    left, out = requests, []
+    columns = [F.col(c) for c in requests.columns]
+    for name, key, limit in limits:
+        judged = consume(left, key, ts, request_id, limit.points, limit.duration)
+        out.append(judged.where(~F.col("allowed")).select(*columns, F.lit(False).alias("allowed"), F.lit(name).alias("rejected_by")))
+        left = judged.where("allowed").select(*columns)
+    out.append(left.select(*columns, F.lit(True).alias("allowed"), F.lit(None).cast("string").alias("rejected_by")))
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Callers without an account: so many requests in so many seconds for each address.
+UNAUTHENTICATED = Limit(60, 60)
+
+
+def caller_key(user: Column, forwarded: Column, real: Column, peer: Column) -> Column:
+    """What a caller is counted by: the account, or else the address."""
+    return F.coalesce(user, client_ip(forwarded, real, peer))
+
+
 def rejection(points: int) -> Column:
     """What a rejected request is told."""
     return F.when(~F.col("allowed"), F.struct(

@@ -24,7 +24,7 @@ class ConflictError(SpecError):
 
 @dataclass
 class UpsertResult:
-    """The table after the write, and one row per source row with its action."""
+    """The table after the write, and one row per source row with its action, in no order; sort by ``__rn`` where one is wanted."""
 
     target: DataFrame
     rows: DataFrame
@@ -107,9 +107,14 @@ def upsert(target: DataFrame, source: DataFrame, spec: TableSpec, policy: str =
         policy = "ignore"
     if not spec.unique_sets:
         rows = completed(source, spec).withColumn(ACTION, F.lit("INSERT"))
-        return UpsertResult(target.unionByName(rows.select(*spec.columns)), rows.select(RN, ACTION, *spec.columns).orderBy(RN))
+        return UpsertResult(target.unionByName(rows.select(*spec.columns)), rows.select(RN, ACTION, *spec.columns))
     if policy == "replace" and SET in source.columns:
-        # As many buckets as requests have different column sets.
+        # A key that different column sets share makes one set's write what the next one meets.  Else all rows meet the
+        # table at once, each with its own columns.
+        given = completed(source, spec).withColumn("__columns", F.sort_array(SET))
+        shared = [given.where(_all_there(u)).groupBy(*u).agg(F.min("__columns").alias("a"), F.max("__columns").alias("b")).where("a <> b").select(F.lit(1)) for u in spec.unique_sets]
+        if not reduce(DataFrame.unionByName, shared).head(1):
+            return _write(target, source, spec, "update", spec.columns)
         order = source.groupBy(F.sort_array(SET).alias("s")).agg(F.min(RN).alias("at")).orderBy("at").collect()
         out, parts = target, []
         for bucket in order:
@@ -117,7 +122,7 @@ def upsert(target: DataFrame, source: DataFrame, spec: TableSpec, policy: str =
             done = _write(out, one, spec, "update", list(bucket["s"]))
             out = done.target
             parts.append(done.rows)
-        return UpsertResult(out, reduce(DataFrame.unionByName, parts).orderBy(RN) if parts else _write(target, source, spec, "ignore", []).rows)
+        return UpsertResult(out, reduce(DataFrame.unionByName, parts) if parts else _write(target, source, spec, "ignore", []).rows)
     columns = update_columns if policy == "update" else [c for c in source.columns if c in spec.columns]
     return _write(target, source, spec, "update" if policy == "replace" else policy, columns or [])
 
@@ -151,7 +156,8 @@ def _write(target: DataFrame, source: DataFrame, spec: TableSpec, policy: str, c
     on = reduce(Column.__and__, [F.col(f"__t_{c}") == F.col(f"__o_{c}") for c in spec.primary])
     both = met.join(old, on)
     changes = [c for c in columns if c in spec.columns and c not in spec.primary] if policy == "update" else []
-    new = {c: F.col(c) if c in changes else F.col(f"__o_{c}") for c in spec.columns}
+    own = lambda c: F.when(F.array_contains(SET, c), F.col(c)).otherwise(F.col(f"__o_{c}")) if SET in source.columns else F.col(c)
+    new = {c: own(c) if c in changes else F.col(f"__o_{c}") for c in spec.columns}
     updated = both.select(RN, F.lit("UPDATE" if policy == "update" else "EXISTING").alias(ACTION), *[e.alias(c) for c, e in new.items()])
     if policy == "update" and spec.with_generated():
         updated = updated.withColumns(spec.with_generated())
@@ -163,7 +169,7 @@ def _write(target: DataFrame, source: DataFrame, spec: TableSpec, policy: str, c
         F.col("__own").alias(RN),
         F.when(F.col(RN).isNull(), F.raise_error(F.lit("a row repeats a row that is itself a duplicate")).cast("string")).otherwise(F.lit("DUPLICATE")).alias(ACTION),
         *spec.columns)
-    rows = winners.unionByName(duplicates).orderBy(RN)
+    rows = winners.unionByName(duplicates)
 
     untouched = target.select(*spec.columns)
     if policy == "update":
