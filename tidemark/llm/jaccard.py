@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, running, small_batches
 from tidemark.llm.text import byte_chunks, fold, mix64, prefix_hash, span_hash, word_spans
 
 #: Counters of the sketch, fixed whatever the corpus: 8 MB as broadcast.
@@ -99,8 +99,9 @@ def sketch_loads(docs: DataFrame, text: str, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "n"])
 
     slices = 1 << (SKETCH_BITS - SLICE_BITS)
-    found = (docs.select(text).mapInArrow(count, "slice int, n binary").repartition(slices, "slice")
-             .mapInArrow(add, "slice int, n binary").collect())
+    with running(docs.sparkSession):
+        found = (docs.select(text).mapInArrow(count, "slice int, n binary").repartition(slices, "slice")
+                 .mapInArrow(add, "slice int, n binary").collect())
     counts = np.zeros((slices, 1 << SLICE_BITS), np.int64)
     for k, raw in found:
         counts[k] = np.frombuffer(raw, np.int64)
@@ -330,5 +331,6 @@ def _left_over(lists: DataFrame, part_of: DataFrame, percent: int) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, width=3, percent=90).withColumnRenamed("component", "component_id")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
 from tidemark.llm.quality import kth_largest
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, small_batches
 from tidemark.llm.text import byte_chunks, text_or_empty
 
 #: The commonest words travel by broadcast, so many at most; the others are joined.
@@ -224,4 +224,5 @@ def score(docs: DataFrame, model: str = pieces.DEFAULT_MODEL, key: str = "doc_id
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

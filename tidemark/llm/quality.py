@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.mixing import seeded_rank
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, running, small_batches
 from tidemark.llm.text import byte_chunks, byte_planes, fold, from_planes, mix64, prefix_hash, span_hash, text_or_empty, word_spans
 
 #: Cells of a language's table of n-grams, and of what travels as one row.
@@ -79,6 +79,11 @@ def group_of(docs: DataFrame, lang: str) -> tuple[Column, int]:
     return group.cast("int"), len(named) + 1
 
 
+def _alike(text: str) -> list[Column]:
+    """Two hashes that tell texts apart."""
+    return [F.xxhash64(text_or_empty(text)).alias("__h1"), F.xxhash64(F.lit(1), text_or_empty(text)).alias("__h2")]
+
+
 class Model:
     """Counts of n-grams in labelled documents, by kind; ``ratio``: a kind's n-grams to all kinds', by language."""
 
@@ -123,14 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: Column,
                 held.setdefault(k, np.zeros(1 << SLICE_BITS, np.int64))[from_planes(raw, np.uint16, m)] += from_planes(raw[2 * m :], np.uint32, m)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in held.values()], pa.binary())], ["slice", "counts"])
 
-    alike = [F.xxhash64(text_or_empty(text)).alias("h1"), F.xxhash64(F.lit(1), text_or_empty(text)).alias("h2")]
+    alike = _alike(text)
     sample = F.broadcast(label_sample(labels, key, limit))  # at most ``limit`` rows of two numbers
-    once = (docs.select(key, *alike).join(sample, key).groupBy("h1", "h2", "kind").agg(F.min(key).alias(key))
-            .select(key, "h1", "h2", F.col("kind").cast("int").alias("kind")))
-    chosen = docs.select(key, *alike, F.col(text).alias("t"), group.alias("group")).join(F.broadcast(once), [key, "h1", "h2"]).select("t", "kind", "group")
+    once = (docs.select(key, *alike).join(sample, key).groupBy("__h1", "__h2", "kind").agg(F.min(key).alias(key))
+            .select(key, "__h1", "__h2", F.col("kind").cast("int").alias("kind")))
+    chosen = docs.select(key, *alike, F.col(text).alias("t"), group.alias("group")).join(F.broadcast(once), [key, "__h1", "__h2"]).select("t", "kind", "group")
     # The table's cells come to the driver, as many whatever the input.
-    found = (chosen.mapInArrow(count, "slice int, n int, body binary").repartition(-(-size >> SLICE_BITS), "slice")
-             .mapInArrow(add, "slice int, counts binary").collect())
+    with running(docs.sparkSession):
+        found = (chosen.mapInArrow(count, "slice int, n int, body binary").repartition(-(-size >> SLICE_BITS), "slice")
+                 .mapInArrow(add, "slice int, counts binary").collect())
     counts = np.zeros(-(-size >> SLICE_BITS) << SLICE_BITS, np.float32)
     for k, body in found:
         counts[k << SLICE_BITS : (k + 1) << SLICE_BITS] = np.frombuffer(body, "<f4")
@@ -215,7 +221,8 @@ class Sample:
         self.group, n_groups = group_of(docs, lang)
         model = fit(docs, labels, key, text, self.group, n_groups, limit)
         self.model = docs.sparkSession.sparkContext.broadcast(model)
-        self.logs = self.scratch.table(score(docs.select(key, text, lang), self.model, text, self.group).select(key, "__n_features", *LOGS), "logs")
+        self.logs = self.scratch.table(score(docs.select(key, text, lang, *_alike(text)), self.model, text, self.group).select(
+            key, "__h1", "__h2", "__n_features", *LOGS), "logs")
         self.share, self.least = [1.0] + [0.0] * (len(KINDS) - 1), None
         if model.labelled.sum():
             self.share, expected = shares(self.logs, (model.labelled / model.labelled.sum()).tolist())
@@ -237,13 +244,17 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     Rows of equal key and text are taken or left together, and ties at the
     k-th place are all taken.  Null keys share one noise value; null languages belong to the rest.  Null and empty texts weigh
     0, so they are taken where most documents are good.  Without labelled
-    rows every row is taken.  Texts are read for the counts, for the choice, and for the rows that stay; they are never shuffled.
+    rows every row is taken.  Each text is weighed once, and the rows that stay are found by key and text.
     """
     sample = Sample(docs, labels, key, text, lang, limit, seed)
-    return sample.taken(sample.weigh(score(docs, sample.model, text, sample.group)))
+    chosen = sample.taken(sample.weigh(sample.logs)).distinct().withColumnRenamed(key, "__id")
+    hashed = docs.withColumns({f"__r{i}": c for i, c in enumerate(_alike(text))})
+    on = hashed[key].eqNullSafe(chosen["__id"]) & (F.col("__r0") == F.col("__h1")) & (F.col("__r1") == F.col("__h2"))
+    return hashed.join(chosen, on).select(*[hashed[c] for c in docs.columns], "__n_features", "__log_weight", "__key")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     sample = Sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "lang", MAX_LABELS, SEED)
     return sample.taken(sample.weigh(sample.logs)).select(

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, small_batches
 from tidemark.llm.text import byte_chunks, byte_planes, from_planes, mix64, powers, prefix_hash, text_or_empty
 
 NO_KEY = 2**63 - 1
@@ -415,6 +415,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select(
         "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),

@@ -11,11 +11,13 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: While a table is written: its shuffles go once it stands, and Python workers get small batches, so that long texts
+#: While a step runs: its shuffles go once its result stands, and Python workers get small batches, so that long texts
 #: and many rows don't gather beside an executor's heap.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
            "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
@@ -37,6 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For a job that owns its session: small batches for Python workers in all that follows, also in results that are written later."""
+    for k, v in WRITING.items():
+        if ".arrow." in k:
+            spark.conf.set(k, v)
+
+
+@contextmanager
+def running(spark: SparkSession) -> Iterator[None]:
+    """Run a step with the settings of ``WRITING``, and put the session's own ones back."""
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Scratch:
     """Names, writes, rereads and removes the tables of one operator call."""
 
@@ -58,14 +80,8 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", "zstd").options(**options)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        before = {k: self.spark.conf.get(k) for k in WRITING}
-        for k, v in WRITING.items():
-            self.spark.conf.set(k, v)
-        try:
+        with running(self.spark):
             writer.parquet(path)
-        finally:
-            for k, v in before.items():
-                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

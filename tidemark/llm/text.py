@@ -6,7 +6,9 @@ touches A-Z only, so results do not depend on a locale or a Unicode version.
 
 from __future__ import annotations
 
+import ctypes
 import string
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +83,21 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start])
 
 
+_LAST = [0.0]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, at most once a second: a worker lives on, beside others of its executor."""
+    if time.monotonic() - _LAST[0] < 1:
+        return
+    _LAST[0] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 def byte_chunks(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) for slices of about ``limit`` bytes.
 
@@ -103,6 +120,7 @@ def byte_chunks(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, in
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.scratch import small_batches
+
 # Fixed values of the TIFF 6.0 format: tags, field sizes, compression codes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
@@ -380,6 +382,7 @@ def texts_to_tiff(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = texts_to_tiff(docs).withColumns({
         "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
