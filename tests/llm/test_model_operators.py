@@ -298,6 +298,28 @@ def test_cutting_changes_nothing(vocabulary, monkeypatch):
     assert [[s for s, _ in f] for f in cut] == [[s for s, _ in f] for f in whole] and cut[0][0] == whole[0][0]
 
 
+def test_long_unspaced_text(vocabulary):
+    """200 kB without a space: linear memory, and the best path is that of the short segments' way."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    text = bytes(rng.choice(np.frombuffer(b"etaoinshrdlu0123456789+/", np.uint8), 200_000))
+    ((best, second),) = list(sp.encode_texts(vocabulary, [text], 2))
+    tracemalloc.start()
+    list(sp.encode_texts(vocabulary, [text[:20_000]], 2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sp.decode(vocabulary, best[1]) == text and sp.decode(vocabulary, second[1]) == text and second[0] <= best[0] and most < 60e6
+    part = text[: sp.LONG + 500]
+    one = sp.Segments(vocabulary, [part, b" a"])
+    limit, sp.LONG = sp.LONG, 1 << 20
+    try:
+        two = sp.Segments(vocabulary, [part, b" a"])
+    finally:
+        sp.LONG = limit
+    assert np.allclose(one.score, two.score) and np.allclose(one.second, two.second) and one.flat.tolist() == two.flat.tolist()
+
+
 def test_encode(spark, edge, edge_rows, none):
     got = sp.encode(edge.withColumns({"ids": F.lit(1), "score": F.lit(2)}), with_ids=True)
     rows = got.collect()

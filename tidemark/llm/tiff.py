@@ -180,6 +180,11 @@ def decode_segment(data: bytes, compression: int, size: int) -> bytes:
     return out
 
 
+#: Bytes of a page that one byte of a file can make, by compression, and of the largest page that fits a column.
+MOST = {STORED: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+LARGEST = 2**31 - 2
+
+
 # ------------------------------------------------------------------ reading
 def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
     """The tags of each page, in file order."""
@@ -223,10 +228,17 @@ def decode_page(data: bytes, tags: dict) -> tuple[dict, np.ndarray]:
     if tiled:
         sw, sl, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
-        sw, sl = width, min(one(ROWS_PER_STRIP, length), length)
+        sw, sl = width, min(one(ROWS_PER_STRIP, length) or 0, length or 0)
         offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if not all(isinstance(x, int) and x > 0 for x in (width, length, samples, sw, sl)):
+        raise ValueError("a width, length, strip or tile of no samples")
     across, down = -(-width // sw), -(-length // sl)
+    if tiled and sw * sl > 4 * max(width, 64) * max(length, 64):
+        raise ValueError(f"tiles of {sw} x {sl} for a page of {width} x {length}")
     depth, planes = (samples, 1) if planar == 1 else (1, samples)
+    size = length * width * samples * kind.itemsize
+    if size > min(LARGEST, (len(data) + 64) * MOST.get(compression, 1)):
+        raise ValueError(f"a page of {size} bytes in a file of {len(data)}")
     if len(offsets) != across * down * planes:
         raise ValueError(f"{len(offsets)} segments of {across * down * planes}")
     out = np.zeros((length, width, samples), kind.newbyteorder("="))
@@ -253,8 +265,8 @@ PAGE_FIELDS = [("page", "int"), ("width", "int"), ("height", "int"), ("bits", "i
 def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row per page: the other columns of ``files`` and PAGE_FIELDS.
 
-    A file that can't be read (null, empty, cut short, unknown compression)
-    gives one row with ``error`` set and null pixels after its good pages, so
+    A file that can't be read (null, empty, cut short, unknown compression, sizes of
+    zero or beyond what its bytes can hold) gives one row with ``error`` set and null pixels after its good pages, so
     no file vanishes.  Input columns named like a page field are left out.
     Pixels are rows of samples, 16-bit ones little-endian.
     """
@@ -280,7 +292,7 @@ def read_pages(files: DataFrame, media: str = "media") -> DataFrame:
                         rows.append(i)
                         held += len(pixels)
                         page += 1
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
+                except (ValueError, KeyError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error, IndexError) as e:
                     found.append({"page": page, "error": f"{type(e).__name__}: {e}"[:200]})
                     rows.append(i)
                 if held > 1 << 24:
