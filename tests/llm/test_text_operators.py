@@ -133,6 +133,23 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(other, edges=extra).collect()} == {"block"}
 
 
+def test_urls_of_many_rules(spark, monkeypatch):
+    """Rules as a table judge as the expression does, also those of equal length; relative links are resolved."""
+    rules = [*urls.RULES, ("block", "x.com", "/a"), ("allow", "com", "/abc"), ("allow", "net", "/de/"), ("block", "net", "/de/")]
+    rows = [*PAGES, (20, "http://x.com/abc", None), (21, "http://y.x.com/ab", None), (22, "http://y.com/abcd", None), (23, "http://p.net/de/3", None),
+            (24, "http://q.info/a/b/c?x=1", '<link rel=canonical href="../z?a=1&amp;b=2">'), (25, "http://q.info/a/z?a=1&b=2", None),
+            (26, "http://q.info/k", '<link rel=canonical href="?p=2">'), (27, "http://q.info/k?p=2", '<link rel=canonical href="http://x.com/a">'), (28, "no url", '<link rel=canonical href="http://x.com/a">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wanted = sorted(map(str, urls.filter_urls(df, rules).collect()))
+    by_id = {r.page_id: r for r in urls.filter_urls(df, rules).collect()}
+    assert (by_id[20].rule, by_id[21].verdict, by_id[22].rule, by_id[23].verdict, by_id[28].verdict) == ("x.com/a", "block", "com/abc", "allow", "allow")
+    assert by_id[24].alias_of == by_id[25].alias_of is not None and by_id[26].verdict == by_id[27].verdict == "block"
+    monkeypatch.setattr(urls, "INLINE", 0)
+    assert sorted(map(str, urls.filter_urls(df, rules).collect())) == wanted
+    table = spark.createDataFrame(rules, "verdict string, host string, path string").coalesce(1)
+    assert sorted(map(str, urls.filter_urls(df, table).collect())) == wanted
+
+
 def test_urls_of_targets_that_are_no_rows(spark):
     rows = [(1, "http://a.net/1", '<link rel="canonical" href="http://x.example.org/es/1?q">'), (2, "http://b.net/2", "<meta http-equiv=refresh content='0; url=http://x.example.org/es/1?q'>"),
             (3, "http://c.net/3", None), (4, "http://d.net/4", '<link rel="canonical" href="http://x.example.org/fr/1">'), (5, "http://a.net/de/5", '<link rel="canonical" href="http://x.example.org/es/1?q">')]
@@ -269,6 +286,23 @@ def test_tiff_pages_and_bad_files(spark):
     assert all(got[i, 0].error and got[i, 0].pixels is None for i in (2, 3, 4, 5))
 
 
+def test_tiff_sizes_that_cannot_be(spark):
+    """Widths, strips and tiles of zero, and pages beyond all memory, give a row with an error each."""
+    import struct
+
+    good = tiff.write_gray(np.zeros((64, 64), np.uint8), tiff.DEFLATE)
+    tiled = tiff.write_gray(np.zeros((64, 64), np.uint8), tiff.DEFLATE, tile=32)
+
+    def changed(data, tag, value):
+        at = data.index(struct.pack("<HHI", tag, 4, 1)) + 8
+        return data[:at] + struct.pack("<I", value) + data[at + 4 :]
+
+    files = [changed(good, tiff.WIDTH, 0), changed(good, tiff.LENGTH, 0), changed(good, tiff.ROWS_PER_STRIP, 0), changed(tiled, tiff.TILE_WIDTH, 0),
+             changed(changed(good, tiff.WIDTH, 1 << 20), tiff.LENGTH, 1 << 22), changed(good, tiff.WIDTH, 1 << 31), changed(tiled, tiff.TILE_WIDTH, 1 << 30), changed(good, tiff.SAMPLES, 0)]
+    got = tiff.read_pages(spark.createDataFrame([(i, f) for i, f in enumerate([*files, good])], "id long, media binary")).collect()
+    assert {r.id: r.error is None for r in got} == {i: i == len(files) for i in range(len(files) + 1)}
+
+
 def test_query_columns(spark):
     got = tiff.op10_tiff(spark, SF).limit(20).collect()
     assert all(r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes) and 0 <= r.tail_crc32 < 2**32 for r in got)

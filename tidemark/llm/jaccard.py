@@ -334,3 +334,17 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, width=3, percent=90).withColumnRenamed("component", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT y, c FROM reach JOIN link ON x = doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, coalesce(min(c), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
