@@ -49,6 +49,50 @@ def test_quality_on_held_out_rows(spark):
     assert kept == {r.doc_id for r in quality.select(docs.repartition(7), labels).collect()}
 
 
+def test_quality_recomputed(spark):
+    """Rates, shares, weights, k and the sample itself, in plain numpy from the n-grams' cells."""
+    docs, labels = labelled(spark, 150)
+    docs = docs.union(docs.where("doc_id = 7").withColumn("doc_id", F.lit(1000).cast("long")))  # a copy of an unlabelled or labelled text
+    rows, marks = docs.orderBy("doc_id").collect(), {r.doc_id: 1 if r.toxic else 0 if r.quality else 2 for r in labels.collect()}
+    order = sorted(Counter(r.lang for r in rows).items(), key=lambda x: (-x[1], x[0]))
+    group_of = {lang: i for i, (lang, _) in enumerate(order)}
+
+    def cells(r):
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        return quality.features(raw, np.array([0, len(raw)]), np.array([group_of[r.lang]]))[0].tolist()
+
+    own = {r.doc_id: cells(r) for r in rows}
+    once = {}
+    for r in rows:
+        if r.doc_id in marks:
+            once.setdefault((r.text, marks[r.doc_id]), r)
+    count = [Counter() for _ in range(3)]
+    for (_, kind), r in once.items():
+        count[kind].update(own[r.doc_id])
+    every = sum(count, Counter())
+    total = lambda c, g: sum(n for cell, n in c.items() if cell >> quality.BITS == g)
+    ratio = {(k, g): total(count[k], g) / max(total(every, g), 1) for k in range(3) for g in group_of.values()}
+    logs = np.array([[sum(math.log(count[k][c] + 2) - math.log(every[c] * ratio[k, c >> quality.BITS] + 2) for c in own[r.doc_id]) for k in range(3)] for r in rows])
+    share = np.bincount([k for _, k in once], minlength=3) / len(once)
+    for _ in range(quality.STEPS):
+        post = np.exp(logs + np.log(share + 1e-12) - np.logaddexp.reduce(logs + np.log(share + 1e-12), axis=1)[:, None])
+        new, k = post.mean(axis=0), round(post[:, 0].sum())
+        done = abs(new - share).max() < 1e-4
+        share = new
+        if done:
+            break
+    weight = logs[:, 0] - np.logaddexp.reduce(logs + np.log(share + 1e-12), axis=1)
+    noise = []
+    for r in rows:
+        u = (int(__import__("hashlib").md5(f"{quality.SEED}:{r.doc_id}".encode()).hexdigest()[:15], 16) + 0.5) / 2**60
+        noise.append(-math.log(-math.log(u)))
+    best = np.argsort(-(weight + noise), kind="stable")[:k]
+    got = {r.doc_id: r for r in quality.select(docs, labels).collect()}
+    assert set(got) == {rows[i].doc_id for i in best}
+    assert np.allclose([got[rows[i].doc_id]["__log_weight"] for i in best], weight[best], rtol=1e-4, atol=1e-3)
+    assert all(got[rows[i].doc_id]["__n_features"] == len(own[rows[i].doc_id]) for i in best)
+
+
 def test_quality_edges(spark, edge, none, edge_rows):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 1), (104, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.select(edge.withColumns({"kind": F.lit("k"), "n": F.lit(1), "cell": F.lit(2)}), labels)

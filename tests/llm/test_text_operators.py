@@ -97,7 +97,7 @@ def test_mixing_edges(spark, none):
 
 def test_components(spark):
     rng = np.random.default_rng(1)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, 1000 + i) for i in range(200)] + [(i, i + 1) for i in range(2000, 2050)] + [(5, 5)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000, 1000 + i) for i in range(200)] + [(i, i + 1) for i in range(2000, 2016)] + [(5, 5)]
     parent = {}
 
     def find(x):
