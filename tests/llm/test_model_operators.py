@@ -166,8 +166,6 @@ def check_base(rows, got):
 
 
 def test_lm_edges(edge, edge_rows, none, monkeypatch):
-    # The weights start from the common words, so they are held for the comparison below.
-    monkeypatch.setattr(lattice_lm, "learn_weights", lambda words, common, v, k: np.stack([v.prior] * k))
     got = lattice_lm.score(edge).collect()
     check_base(edge_rows, got)
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
@@ -259,6 +257,49 @@ def test_bit_filter(spark):
     assert np.flatnonzero(jaccard._bit(np.arange(1 << 18), table)).tolist() == sorted({v % (1 << 18) for v in values})
 
 
+def test_scores_recomputed(spark, edge, edge_rows, vocabulary):
+    """The score of every row from counts, expected uses and lattices, in plain Python."""
+    v = vocabulary
+    trained = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5 != 1
+    named = sorted(Counter(r[2] for r in edge_rows).items(), key=lambda x: (-x[1], x[0] is not None and 1, x[0] or ""))
+    classes = [x for x, _ in named if x is not None]
+    k_of = lambda lang: classes.index(lang) if lang in classes else len(classes)
+    n_classes = len(classes) + (None in dict(named))
+    c = [Counter() for _ in range(n_classes)]
+    tokens = lambda t: [low(w) for w in words(t)] + [b""]
+    for i, t, lang, *_ in edge_rows:
+        if trained(i):
+            c[k_of(lang)].update(tokens(t))
+    size = np.array([sum(x.values()) for x in c], float)
+    once = np.array([sum(n == 1 and w != b"" for w, n in x.items()) for x in c])
+    ends = np.array([x[b""] for x in c])
+    unseen, share = np.minimum(0.5, 2 * (once + 1) / (size + 2)), (ends + 1) / (ends.sum() + n_classes)
+    known = sorted(set().union(*c) - {b""})
+    counts = np.array([[x[w] for x in c] for w in known], float)
+    own = np.exp(v.prior) / np.exp(v.prior).sum()
+    mixed = lambda u: np.log(lattice_lm.OWN * own + (1 - lattice_lm.OWN) * np.where(u.sum(axis=-1, keepdims=True) > 0, u / u.sum(axis=-1, keepdims=True).clip(1e-300), own))
+    shared = v.prior
+    for _ in range(lattice_lm.STEPS):
+        uses = pieces.expected_counts(v, [b" " + w for w in known], counts, shared).T
+        shared = mixed(uses.sum(axis=0))
+    weights = mixed(uses)
+    got = Counter((r.doc_id, round(r.score, 5)) for r in lattice_lm.score(edge).collect())
+    want = Counter()
+    for i, t, *_ in edge_rows:
+        mine = Counter(tokens(t))
+        by_class = np.log10(share)
+        for w, n in mine.items():
+            have = np.array([x[w] for x in c], float)
+            if w == b"":
+                p = (have + 1) / (size + 2)
+            else:
+                p = (1 - unseen) * have / np.maximum(size, 1) + unseen * np.exp(pieces.marginals(v, [b" " + w], weights)[0])
+            by_class = by_class + n * np.log10(p)
+        want[i, round(float(np.logaddexp.reduce(by_class * np.log(10)) / np.log(10)), 5)] += 1
+    close = lambda x: sorted((-1 if i is None else i, s) for i, s in x.elements())
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5, abs_tol=1e-4) for a, b in zip(close(got), close(want), strict=True))
+
+
 # ------------------------------------------------------------------ repeats
 def brute_repeats(rows, length):
     order = {i: k for k, i in enumerate(sorted({r[0] for r in rows if r[0] is not None}))}

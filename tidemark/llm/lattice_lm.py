@@ -6,8 +6,9 @@ A token (a word, or the end of a text) of class k has probability
 
 where the lattice sums all segmentations of the word into pieces of a fixed
 vocabulary, and the first term is the path that takes a learned word as one
-piece.  Piece weights start as the vocabulary's own scores and get two
-expectation steps over all training words; u_k is twice the share of tokens
+piece.  The vocabulary's own scores weigh the pieces: they are ``OWN`` of each
+piece's weight, whatever the corpus, and the rest are the piece's expected uses in all training
+words, found by two expectation steps that start from those scores; u_k is twice the share of tokens
 whose word is seen once, after Good and Turing.  Classes are the languages, and a text's probability is the
 mixture over classes, so a text need not tell its language.
 """
@@ -31,8 +32,8 @@ FREQUENT = 1 << 18
 MAX_CLASSES = 8
 STEPS = 2
 FLUSH = 300_000
-#: The vocabulary's own scores weigh as much as so many uses of pieces.
-PRIOR_USES = 1000
+#: The vocabulary's own scores' part of a piece's weight.
+OWN = 0.5
 END = b""
 
 
@@ -87,12 +88,21 @@ def learn_weights(words: DataFrame, steps: int, vocabulary, n_classes: int) -> n
     shared = vocabulary.prior
     for _ in range(steps):
         total = _expected(words, vocabulary, n_classes, shared)
-        shared = np.log(total.sum(axis=0) / total.sum())
-    return np.log(total / total.sum(axis=1, keepdims=True))
+        shared = _weights(total.sum(axis=0), vocabulary)
+    return _weights(total, vocabulary)
+
+
+def _weights(uses: np.ndarray, vocabulary) -> np.ndarray:
+    """Log weights of pieces: ``OWN`` by the vocabulary's scores, the rest by the expected uses."""
+    own = np.exp(vocabulary.prior)
+    own /= own.sum()
+    total = uses.sum(axis=-1, keepdims=True)
+    # Where nothing was learned the vocabulary's scores are all there is.
+    return np.log(OWN * own + (1 - OWN) * np.where(total > 0, uses / np.maximum(total, 1e-300), own))
 
 
 def _expected(words: DataFrame, vocabulary, n_classes: int, shared: np.ndarray) -> np.ndarray:
-    """Expected uses of the pieces by class, smoothed by the vocabulary's own scores."""
+    """Expected uses of the pieces by class."""
     def expect(batches):
         total = np.zeros((len(vocabulary.strings), n_classes))
         for batch in batches:
@@ -109,8 +119,7 @@ def _expected(words: DataFrame, vocabulary, n_classes: int, shared: np.ndarray)
     total = np.zeros((n_classes, len(vocabulary.strings)))
     for row in found:
         total[:, row[0]] = row[1:]
-    prior = np.exp(vocabulary.prior)
-    return total + PRIOR_USES * prior / prior.sum() + 1e-3
+    return total
 
 
 def score(docs: DataFrame, model: str = pieces.DEFAULT_MODEL, key: str = "doc_id", text: str = "text",
