@@ -17,10 +17,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: While a step runs: its shuffles go once its result stands, and Python workers get small batches, so that long texts
-#: and many rows don't gather beside an executor's heap.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
-           "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+#: While a step runs: its shuffles go once its result stands, and Python workers get batches of bounded size, so that long
+#: texts don't gather beside an executor's heap.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Seconds between two collections of the driver's finished objects.
 APART = 3.0
 
