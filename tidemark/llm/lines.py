@@ -71,7 +71,9 @@ class LineRuns:
         self.settled.append(self._run(merged.where(F.col("n") >= self.min_docs), "settled"))
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(merged.where(F.col("n") < self.min_docs))
+        unsettled = merged.where(F.col("n") < self.min_docs)
+        unsettled._scratch_path = merged._scratch_path  # goes with the run when that is compacted
+        self.levels[level + 1].append(unsettled)
 
     def finish(self) -> DataFrame:
         """Compact all that is left; every frequent hash is settled then."""

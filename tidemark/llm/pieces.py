@@ -29,6 +29,7 @@ class Vocabulary:
     def __init__(self, ids: np.ndarray, strings: list[bytes], prior: np.ndarray, is_byte: np.ndarray):
         self.ids, self.strings, self.prior, self.is_byte = ids, strings, prior, is_byte
         self.longest = max(map(len, strings))
+        self.scores = prior.tolist()  # for loops over single pieces
         self.by_string = {s: i for i, s in enumerate(strings) if not is_byte[i]}
         self.byte_row = np.zeros(256, np.int32)
         for i in np.flatnonzero(is_byte):
